@@ -121,3 +121,32 @@ def range_of(column: Column, cuts: list, descending: bool = False) -> Column:
     if descending:
         place = F.lit(n) - place
     return F.coalesce(place, F.lit(n + 1)).cast("int")
+
+
+#: Base of the polynomial hashes, odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
+_BYTE_VALUES = (np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        have = _POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, PIECE_BYTES), base, np.uint64)])
+    return have[:n]
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Rolling 64-bit hashes of all windows of `width` bytes, by the place where each starts.
+
+    Polynomial over random byte values, modulo 2^64, by one running sum; the high bits are mixed down.
+    """
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    total = np.r_[np.uint64(0), np.cumsum(_BYTE_VALUES[data] * _powers(_INVERSE, n))]
+    hashes = (total[width:] - total[:-width]) * _powers(_BASE, n - width + 1)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mixing, simhash
+from . import bpe, mixing, repetition, simhash
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +14,60 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of each document."""
+    judged = repetition.judge_repetition(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of each document's ids and of the text they decode to."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP3_SQL = r"""
+WITH split AS (
+  SELECT doc_id, text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws, string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+words AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM split),
+grams AS (
+  SELECT doc_id, n, i,
+         hash(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS g3,
+         hash(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) AS g8,
+         hash(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 100 FOLLOWING)) AS g101
+  FROM words),
+starts AS (
+  SELECT doc_id, i,
+         i <= n - 2 AND count(*) OVER (PARTITION BY doc_id, g3) > 1 AS again_3,
+         i <= n - 7 AND count(*) OVER (PARTITION BY doc_id, g8) > 1 AS again_8,
+         i <= n - 100 AND count(*) OVER (PARTITION BY doc_id, g101) > 1 AS again_101
+  FROM grams),
+covered AS (
+  SELECT doc_id, again_101,
+         max(again_3::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 2 PRECEDING) AS in_3,
+         max(again_8::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS 7 PRECEDING) AS in_8
+  FROM starts),
+repeats AS (SELECT doc_id, sum(in_3) AS n_3, sum(in_8) AS n_8, max(again_101::INT) AS long FROM covered GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         list_filter(lines, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS full_lines
+  FROM split),
+base AS (
+  SELECT c.doc_id, n_words, word_chars, n_symbols, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_3, 0) AS BIGINT) AS n_repeat_words, coalesce(n_8, 0) AS n_8, coalesce(long, 0) AS long
+  FROM counts c LEFT JOIN repeats r ON c.doc_id = r.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_8 <= CAST(0.3 AS DOUBLE) * n_words AND long = 0 AS kept
+FROM base
+"""
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -53,9 +102,12 @@ FROM placed
 
 QUERIES = {
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
+    "op3_suffix_array_repetition": op3_suffix_array_repetition,
+    "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op3_suffix_array_repetition": OP3_SQL,
     "op10_mix_sources": OP10_SQL,
 }
