@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, repetition, simhash
+from . import bpe, mixing, repetition, simhash, toxicity
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learnt from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -104,6 +110,7 @@ QUERIES = {
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
+    "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
     "op10_mix_sources": op10_mix_sources,
 }
 
