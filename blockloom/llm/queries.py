@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, repetition, simhash, toxicity
+from . import bpe, mixing, repetition, simhash, toxicity, weighted_sampling
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint against those of its edited text and of the next document."""
+    return weighted_sampling.compare_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of each document's ids and of the text they decode to."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -109,6 +114,7 @@ FROM placed
 QUERIES = {
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
+    "op4_consistent_weighted_sampling": op4_consistent_weighted_sampling,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
     "op10_mix_sources": op10_mix_sources,
