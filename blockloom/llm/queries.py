@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, repetition, simhash, toxicity, weighted_sampling
+from . import bpe, mixing, repetition, simhash, suffix_dedup, toxicity, weighted_sampling
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFr
     return weighted_sampling.compare_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 400 bytes."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of each document's ids and of the text they decode to."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -115,6 +120,7 @@ QUERIES = {
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op4_consistent_weighted_sampling": op4_consistent_weighted_sampling,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
     "op10_mix_sources": op10_mix_sources,
