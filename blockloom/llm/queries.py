@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, repetition, simhash, suffix_dedup, toxicity, weighted_sampling
+from . import bpe, mixing, pii, repetition, simhash, suffix_dedup, toxicity, weighted_sampling
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text with surrogates, and how many entities were replaced."""
+    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +122,7 @@ FROM placed
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op4_consistent_weighted_sampling": op4_consistent_weighted_sampling,
