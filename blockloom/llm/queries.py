@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, mixing, pii, repetition, simhash, suffix_dedup, toxicity, weighted_sampling
+from . import bpe, mixing, pii, repetition, separator_scan, simhash, suffix_dedup, toxicity, training_order, weighted_sampling
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFr
     return weighted_sampling.compare_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's token count, found in the flat token files written of all of them."""
+    return separator_scan.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sequence's slot in training order, and its ids as counted in the shard it was written to."""
+    return training_order.ordered_sequences(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without repeated strings of 400 bytes."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
@@ -89,6 +99,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base
 """
 
+OP5_SQL = r"""
+SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents
+"""
+
+
+def _op6_sql() -> str:
+    """The permutation spelled out: one expression a round, and a recursive walk along the cycles."""
+    left, right = "(v >> bits)", "(v & (1::BIGINT << bits) - 1)"
+    for k in training_order.round_keys():
+        mixed = f"(({right} + {k}) * {training_order.FIRST} % {training_order.PRIME} * {training_order.SECOND} % {training_order.PRIME} & (1::BIGINT << bits) - 1)"
+        left, right = right, f"xor({left}, {mixed})"
+    step = f"(({left} << bits) | {right})"
+    return rf"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents),
+numbered AS (
+  SELECT doc_id, n, n // 256 + 1 AS k, CAST(sum(n // 256 + 1) OVER (ORDER BY doc_id NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) - (n // 256 + 1) AS first
+  FROM counted),
+sized AS (SELECT CAST(sum(k) AS BIGINT) AS total, CAST(greatest(1, ceil(ceil(log2(greatest(sum(k), 2))) / 2)) AS INT) AS bits FROM numbered),
+sequences AS (SELECT doc_id, n, first, unnest(range(k)) AS seq_no FROM numbered),
+walk AS (
+  SELECT doc_id, seq_no, n, first + seq_no AS v, total, bits, 0 AS steps FROM sequences, sized
+  UNION ALL
+  SELECT doc_id, seq_no, n, {step} AS v, total, bits, steps + 1 FROM walk WHERE steps = 0 OR v >= total)
+SELECT doc_id, seq_no, v AS slot, least(256, n + 1 - 256 * seq_no) AS n_tokens FROM walk WHERE steps > 0 AND v < total
+"""
+
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -126,6 +164,8 @@ QUERIES = {
     "op2_simhash_near_duplicates": op2_simhash_near_duplicates,
     "op3_suffix_array_repetition": op3_suffix_array_repetition,
     "op4_consistent_weighted_sampling": op4_consistent_weighted_sampling,
+    "op5_separator_scan": op5_separator_scan,
+    "op6_training_order": op6_training_order,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_bpe_chunk_reuse": op8_bpe_chunk_reuse,
     "op9_string_kernel_toxicity": op9_string_kernel_toxicity,
@@ -134,5 +174,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_suffix_array_repetition": OP3_SQL,
+    "op5_separator_scan": OP5_SQL,
+    "op6_training_order": _op6_sql(),
     "op10_mix_sources": OP10_SQL,
 }
