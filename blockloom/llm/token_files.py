@@ -61,7 +61,8 @@ def token_rows(docs: DataFrame, more: str = "") -> DataFrame:
 def shards_for(docs: DataFrame, shard_bytes: int = 64 << 20) -> int:
     """How many files to write: the shuffle width, or more for large tables, by the plan's own size estimate."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_partitions(docs.sparkSession), size // shard_bytes)
+    known = size if size < 1 << 60 else 0  # Spark's figure for a plan of unknown size is the largest long
+    return max(shuffle_partitions(docs.sparkSession), known // shard_bytes)
 
 
 def write_records(rows: DataFrame, path: str) -> None:
@@ -70,5 +71,8 @@ def write_records(rows: DataFrame, path: str) -> None:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (shard, content), one a file."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("shard").cast("long").alias("shard"), "content")
+    """Rows (shard, content), one a file; none where nothing was written."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], "shard long, content binary")
+    return files.select(F.col("shard").cast("long").alias("shard"), "content")
