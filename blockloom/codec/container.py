@@ -76,28 +76,55 @@ def keep_stream_pass(original: int, collapsed: int, with_pass: int, without: int
 
 def compress(data: bytes, block_size: int | None = None, profile: str = "default", directory: bool = False) -> Archive:
     """The archive of a byte stream that is at hand as a whole."""
-    size = choose_block_size(len(data), block_size, profile)
-    stream, blocks = None, None
-    if size < len(data) <= STREAM_MOST:
-        bits = hash_bits(len(data))
-        collapsed = lzp_encode(data, bits)
-        if collapsed is not None:
-            with_pass = encode_blocks(split(collapsed, size))
-            decisive = len(collapsed) < len(data) - len(data) // 10
-            blocks = None if decisive else encode_blocks(split(data, size))
-            if decisive or keep_stream_pass(len(data), len(collapsed), encoded_size(with_pass), encoded_size(blocks)):
-                stream, blocks = StreamHeader(len(collapsed), zlib.adler32(data), bits), with_pass
-    if blocks is None:
-        blocks = encode_blocks(split(data, size))
-    return Archive(VERSION, directory, size, len(data), stream, blocks)
+    return compress_all([data], block_size, profile, directory)[0]
+
+
+def compress_all(contents: list[bytes], block_size: int | None = None, profile: str = "default", directory: bool = False) -> list[Archive]:
+    """The archives of many byte streams; the blocks of all of them are coded together."""
+    sizes = [choose_block_size(len(c), block_size, profile) for c in contents]
+    collapsed = [lzp_encode(c, hash_bits(len(c))) if size < len(c) <= STREAM_MOST else None for c, size in zip(contents, sizes, strict=True)]
+    parts: list[list[bytes]] = []
+    for content, size, short in zip(contents, sizes, collapsed, strict=True):
+        decisive = short is not None and len(short) < len(content) - len(content) // 10
+        parts += [[] if decisive else split(content, size), split(short, size) if short is not None else []]
+    coded = iter(encode_blocks([b for some in parts for b in some]))
+    blocks = [[next(coded) for _ in some] for some in parts]
+    out = []
+    for i, (content, size, short) in enumerate(zip(contents, sizes, collapsed, strict=True)):
+        plain, passed, stream = blocks[2 * i], blocks[2 * i + 1], None
+        if short is not None and keep_stream_pass(len(content), len(short), encoded_size(passed), encoded_size(plain)):
+            stream, plain = StreamHeader(len(short), zlib.adler32(content), hash_bits(len(content))), passed
+        out.append(Archive(VERSION, directory, size, len(content), stream, plain))
+    return out
 
 
 def restore(archive: Archive) -> bytes:
     """The byte stream of an archive; FormatError if anything is amiss."""
-    parts = decode_blocks(archive.blocks, archive.version)
-    for part in parts:
+    (found,) = restore_all([archive])
+    if isinstance(found, FormatError):
+        raise found
+    return found
+
+
+def restore_all(archives: list[Archive]) -> list[bytes | FormatError]:
+    """The byte streams of many archives, their blocks decoded together; an error stands in the place of a malformed one."""
+    every = iter(decode_blocks([b for a in archives for b in a.blocks]))
+    out: list[bytes | FormatError] = []
+    for archive in archives:
+        parts = [next(every) for _ in archive.blocks]
+        try:
+            out.append(_joined(archive, parts))
+        except FormatError as error:
+            out.append(error)
+    return out
+
+
+def _joined(archive: Archive, parts: list[bytes | FormatError]) -> bytes:
+    for block, part in zip(archive.blocks, parts, strict=True):
         if isinstance(part, FormatError):
             raise part
+        if (error := header_error(block, archive.version)) is not None:
+            raise FormatError(error)
     data = b"".join(parts)
     if archive.stream:
         data = lzp_decode(data, archive.original_size, archive.stream.hash_bits)

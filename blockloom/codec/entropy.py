@@ -13,7 +13,7 @@ from . import FormatError
 
 _U8, _TOP = 8, 1 << 24
 #: Lanes worked on together: bounds the memory of the mixing coder's tables.
-LANES = 256
+LANES = 512
 
 
 class Output:

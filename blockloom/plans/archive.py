@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codec import FormatError, container, tree
-from ..codec.blocks import Block, encode_blocks
+from ..codec.blocks import Block
 from ..codec.sorting import lzp_decode, lzp_encode
 from ..operators import stages
 
@@ -141,43 +141,36 @@ def archives(streams: DataFrame, block_size: int | None = None, profile: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [container.pack(a) for a in _compress_all(batch.column("content").to_pylist(), block_size, profile)]
+            packed = [container.pack(a) for a in container.compress_all([c or b"" for c in batch.column("content").to_pylist()], block_size, profile)]
             yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(packed, pa.binary())], ["stream", "archive"])
 
     kind = streams.schema["stream"].dataType.simpleString()
     return streams.mapInArrow(run, f"stream {kind}, archive binary")
 
 
-def _compress_all(contents: list[bytes], block_size: int | None, profile: str) -> list[container.Archive]:
-    """container.compress for many streams; those of one block are coded together."""
-    sizes = [container.choose_block_size(len(c), block_size, profile) for c in contents]
-    single = [i for i, c in enumerate(contents) if 0 < len(c) <= sizes[i]]
-    together = dict(zip(single, encode_blocks([contents[i] for i in single]), strict=True))
-    return [
-        container.Archive(container.VERSION, False, sizes[i], len(c), None, [together[i]]) if i in together else container.compress(c, block_size, profile)
-        for i, c in enumerate(contents)
-    ]
-
-
 def restored(packed: DataFrame) -> DataFrame:
     """Rows (stream, content, error) of rows (stream, archive): a malformed archive has an error instead of content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, errors = [], []
-            for raw in batch.column("archive").to_pylist():
-                try:
-                    contents.append(container.restore(container.parse(raw or b"")))
-                    errors.append(None)
-                except FormatError as error:
-                    contents.append(None)
-                    errors.append(str(error))
+            parsed = [_parsed(raw or b"") for raw in batch.column("archive").to_pylist()]
+            sound = iter(container.restore_all([a for a in parsed if not isinstance(a, FormatError)]))
+            found = [a if isinstance(a, FormatError) else next(sound) for a in parsed]
+            contents = [None if isinstance(f, FormatError) else f for f in found]
+            errors = [str(f) if isinstance(f, FormatError) else None for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], ["stream", "content", "error"])
 
     kind = packed.schema["stream"].dataType.simpleString()
     return packed.mapInArrow(run, f"stream {kind}, content binary, error string")
 
 
+def _parsed(raw: bytes) -> container.Archive | FormatError:
+    try:
+        return container.parse(raw)
+    except FormatError as error:
+        return error
+
+
 def verify(packed: DataFrame) -> DataFrame:
     """Rows (stream, error), error null for a sound archive; never raises."""
     return restored(packed).select("stream", "error")

@@ -157,8 +157,8 @@ def mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codec_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of documents in blocks of 64 KiB by this coder and by gzip, bzip2 and xz."""
-    sizes = stages.compare_codecs(stages.split_blocks(_by_source(spark, sf_dir), 64 * KIB))
+    """Bytes of documents in blocks of 4 KiB by this coder and by gzip, bzip2 and xz."""
+    sizes = stages.compare_codecs(stages.split_blocks(_by_source(spark, sf_dir), 4 * KIB))
     return sizes.agg(*(F.sum(k).alias(k) for k in ("size", "own", "gzip", "bzip2", "xz")))
 
 

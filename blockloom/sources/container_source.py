@@ -61,7 +61,7 @@ class _Reader(DataSourceReader):
             raise FormatError("archive has another length than its headers say")
         stop = len(places) if self.most is None else min(len(places), self.most + 1)
         step = max(1, -(-(stop - self.least) // self.width)) if stop > self.least else 1
-        return [_Range(0, i, places[i : min(i + step, stop)]) for i in range(self.least, stop, step)] or [_Range(0, 0, [])]
+        return [_Range(i, places[i : min(i + step, stop)]) for i in range(self.least, stop, step)] or [_Range(0, [])]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with open(self.path, "rb") as file:
