@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .common import flat, pieces, utf8, window_hashes
+from .common import cut, flat, pieces, utf8, window_hashes
 
 LENGTH, GRAM = 400, 100
 #: Contexts of equal leading bytes that one task compares.
 BUCKET = 20_000
+#: Hashes whose anchors are spread over so many tasks each, as they may be a large part of all.
+HOT, SALTS = 1000, 64
 #: Leading bytes that splitters are made of, and suffixes sampled for them, in all.
 LEADING, SAMPLED = 16, 20_000
 
@@ -253,17 +255,26 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def salted_join(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """The anchors whose hash is in `twice`; rows of the HOT most frequent hashes are spread over SALTS tasks each."""
+    hot = F.broadcast(twice.orderBy(F.desc("n"), "hash").limit(HOT).select("hash", F.lit(True).alias("hot")))  # HOT rows at most
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = twice.join(hot, "hash", "left").select("hash", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "at"), F.lit(SALTS))).otherwise(0).cast("int")
+    return found.join(hot, "hash", "left").withColumn("salt", salt).join(right, ["hash", "salt"])
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): `kept` is what is left, as bytes."""
     parts = shuffle_partitions(docs.sparkSession)
     cuts = sample_splitters(docs)
     keyed = docs.select(row_key(docs).alias("key"), "text")
     found = keyed.mapInArrow(_anchor_rows, "hash long, key binary, at int, first int, last int")
-    twice = found.groupBy("hash").count().where("count > 1").select("hash")
-    by_text = found.join(twice, "hash").groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
-    # dealt once: both joins with the texts use this one exchange
+    twice = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    by_text = salted_join(found, twice).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
+    # dealt once: all joins with the texts read the same columns, so that they share this exchange
     dealt = docs.select(row_key(docs).alias("key"), "doc_id", "text").repartition(parts, "key")
-    ready = dealt.join(by_text, "key", "left").select("key", "text", "found")
+    ready = dealt.join(by_text, "key", "left")
     contexts = ready.mapInArrow(_suffix_rows(cuts, True), "name binary, bucket int, ahead int, context binary")
     places = ready.mapInArrow(_suffix_rows(cuts, False), "name binary, key binary, first int")
     distinct = contexts.groupBy("name").agg(F.first("bucket").alias("bucket"), F.first("ahead").alias("ahead"), F.first("context").alias("context"), F.count("*").alias("copies"))
@@ -274,5 +285,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     runs = runs.where("string is null").select("name", "start", "stop").union(pending.join(again, "string").select("name", "start", "stop"))
     spans = runs.join(places, "name").groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop") + LENGTH).alias("b"))).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = dealt.join(spans, "key", "left").select("doc_id", "text", "spans")
+    done = dealt.join(spans, "key", "left")
     return done.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
