@@ -133,7 +133,7 @@ _BYTE_VALUES = (np.random.default_rng(20_240_601).integers(0, 1 << 63, 256, dtyp
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = _POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, PIECE_BYTES), base, np.uint64)])
+        have = _POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 1 << 20), base, np.uint64)])
     return have[:n]
 
 

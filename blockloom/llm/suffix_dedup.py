@@ -37,7 +37,9 @@ from .common import cut, flat, pieces, utf8, window_hashes
 
 LENGTH, GRAM = 400, 100
 #: Contexts of equal leading bytes that one task compares.
-BUCKET = 20_000
+BUCKET = 10_000
+#: Bytes of text searched at a time; each takes some hundred bytes of arrays.
+PIECE = 1 << 20
 #: Hashes whose anchors are spread over so many tasks each, as they may be a large part of all.
 HOT, SALTS = 1000, 64
 #: Leading bytes that splitters are made of, and suffixes sampled for them, in all.
@@ -91,21 +93,21 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         hashes, owner, at, first, last = anchors(*flat(batch.column("text")))
         keys = batch.column("key").take(pa.array(owner))
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), keys, *(pa.array(x.astype(np.int32)) for x in (at, first, last))], ["hash", "key", "at", "first", "last"])
 
 
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         data, offsets = flat(batch.column("text"))
         _, owner, at, _, _ = anchors(data, offsets)
         raw, places = data.tobytes(), (at + offsets[:-1][owner]).tolist()
         yield pa.RecordBatch.from_arrays([pa.array([raw[p : p + LEADING] for p in places], pa.binary())], ["lead"])
 
 
-def sample_splitters(docs: DataFrame, sampled: int = SAMPLED, per_bucket: int = 10_000) -> list[bytes]:
+def sample_splitters(docs: DataFrame, sampled: int = SAMPLED, per_bucket: int = 5_000) -> list[bytes]:
     """Leading bytes that part suffixes into buckets of about so many, from a sample of bounded size."""
     rows = docs.count()
     share = min(1.0, 1000 / max(1, rows))
@@ -143,7 +145,7 @@ def _suffix_rows(cuts: list[bytes], bytes_too: bool):
     bounds = np.array([c.ljust(LEADING, b"\0") for c in cuts], f"S{LEADING}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             out: list[tuple] = []
             for key, text, found in zip(batch.column("key").to_pylist(), utf8(batch.column("text")), batch.column("found").to_pylist(), strict=True):
                 for at, first, last in sorted({(f["at"], f["first"], f["last"]) for f in found or ()}):
@@ -234,7 +236,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE):
         out = []
         for text, spans in zip(utf8(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
             kept, at, removed, runs, stop = [], 0, 0, 0, -1
