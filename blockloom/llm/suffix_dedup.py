@@ -11,8 +11,8 @@ strings have equal anchors at equal places, so comparing suffixes at anchors alo
    anchors. Equal contexts of one hash are one row from here on.
 3. Suffix array: sampled splitters range-partition the suffixes by their leading bytes, buckets are
    sorted by multikey quicksort, and neighbours of equal leading bytes, which no splitter parts, are
-   compared: the strings in their contexts, by rolling hashes of which each place is verified byte for byte.
-   Leading bytes that more than `BUCKET` different contexts share are split by the strings instead.
+   compared: the strings in their contexts, by 64-bit rolling hashes that are taken for the strings.
+   A bucket of more than `BUCKET` different contexts is split by the strings' hashes instead.
 4. Runs of repeated strings return to their documents, are united and cut out.
 
 Matches never cross documents, and all are judged on the input.

@@ -39,7 +39,7 @@ from .common import pieces
 
 DECAY, SPAN = 0.8, 5
 #: Bounds of the training sample, in documents.
-MOST_TOXIC, MOST_CLEAN = 3000, 6000
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 #: Landmarks of each kind at most, turns of training, and the machine's cost of errors.
 LANDMARKS, TURNS, COST = 128, 4, 10.0
 #: A beginning may be in clean documents up to this share of its part in toxic ones.
@@ -307,10 +307,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     marked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marked.where("toxic > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic), marked.where("toxic <= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_clean)]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # bounded by the two limits
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").mapInArrow(_units_out, "toxic int, words string").toArrow().to_pydict()
-    bags = [(t > 0, frozenset(w.split("\n")) - {""}) for t, w in zip(rows["toxic"], rows["words"], strict=True)]
-    bags.sort(key=lambda b: (b[0], sorted(b[1])))
-    return train([set(w) for t, w in bags if t], [set(w) for t, w in bags if not t])
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").mapInArrow(_units_out, "toxic int, words string").toArrow()
+    found = sorted(zip((t > 0 for t in rows.column("toxic").to_pylist()), rows.column("words").to_pylist(), strict=True))
+    one: dict[str, str] = {}  # each word is held once
+    bags = [(t, {one.setdefault(w, w) for w in words.split("\n") if w}) for t, words in found]
+    return train([bag for t, bag in bags if t], [bag for t, bag in bags if not t])
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
