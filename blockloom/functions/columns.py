@@ -102,10 +102,10 @@ def savings_percent(original: Column, coded: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """A size with its unit: bytes as they are, larger ones with two decimals."""
+    """A size with its unit: bytes as they are, larger ones with two decimals, halves to even."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for unit, power in (("KiB", 10), ("MiB", 20), ("GiB", 30)):
-        out = F.when(size >= 1 << power, F.concat(F.format_string("%.2f", size / float(1 << power)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= 1 << power, F.concat(F.format_string("%.2f", F.bround(size / float(1 << power), 2)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
