@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..codec import FormatError, container, entropy, sorting
 from ..codec.blocks import Block, candidates, decode_blocks, encode_blocks
+from ..session import shuffle_partitions
 
 #: Bytes of blocks coded together in a task.
 BATCH_BYTES = 4 << 20
@@ -82,6 +83,11 @@ def regroup(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iter
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def deal(blocks: DataFrame) -> DataFrame:
+    """The blocks spread evenly by stream and index: coding costs far more than moving them, and streams differ in length."""
+    return blocks.repartition(max(shuffle_partitions(blocks.sparkSession), blocks.sparkSession.sparkContext.defaultParallelism), "stream", "block_index")
+
+
 # --- stages ---
 
 
@@ -146,7 +152,7 @@ def lf_mapping(blocks: DataFrame) -> DataFrame:
 
 def roundtrip(blocks: DataFrame, stage: str) -> DataFrame:
     """Rows (stream, block_index, coded_size, bytes): blocks coded and restored by one stage, or by all of them."""
-    return per_block(blocks, "coded_size long, bytes binary", ROUNDTRIPS[stage])
+    return per_block(deal(blocks), "coded_size long, bytes binary", ROUNDTRIPS[stage])
 
 
 def _mtf(some: list[bytes]) -> list[tuple]:
@@ -199,12 +205,12 @@ def _row(b: Block) -> tuple:
 
 def encode(blocks: DataFrame) -> DataFrame:
     """The blocks table: each block's least coding."""
-    return per_block(blocks, _BLOCK_FIELDS, lambda bs: [_row(b) for b in encode_blocks(bs)])
+    return per_block(deal(blocks), _BLOCK_FIELDS, lambda bs: [_row(b) for b in encode_blocks(bs)])
 
 
 def candidate_sizes(blocks: DataFrame) -> DataFrame:
     """Rows (stream, block_index, original_size, mixed, ranked_2, ranked_3, collapsed): payload bytes of each coding."""
-    return per_block(blocks, "original_size long, mixed long, ranked_2 long, ranked_3 long, collapsed long", lambda bs: [(len(b), *(x.payload_size for x in c), *([None] * (4 - len(c)))) for b, c in zip(bs, candidates(bs), strict=True)])
+    return per_block(deal(blocks), "original_size long, mixed long, ranked_2 long, ranked_3 long, collapsed long", lambda bs: [(len(b), *(x.payload_size for x in c), *([None] * (4 - len(c)))) for b, c in zip(bs, candidates(bs), strict=True)])
 
 
 def decode(coded: DataFrame) -> DataFrame:
@@ -306,4 +312,4 @@ def compare_codecs(blocks: DataFrame) -> DataFrame:
     def work(some: list[bytes]) -> list[tuple]:
         return [(len(b), c.payload_size, len(zlib.compress(b, 9)), len(bz2.compress(b, 9)), len(lzma.compress(b, preset=9))) for b, c in zip(some, encode_blocks(some), strict=True)]
 
-    return per_block(blocks, "size long, own long, gzip long, bzip2 long, xz long", work)
+    return per_block(deal(blocks), "size long, own long, gzip long, bzip2 long, xz long", work)

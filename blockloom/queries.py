@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .codec import tree
+from .codec.blocks import encode_blocks
 from .functions import columns as c
 from .operators import stages
 from .plans import archive
-from .session import table
+from .session import spread, table
 
 KIB = 1024
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stages.binary_stream(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return stages.binary_stream(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
+    rows = spread(table(spark, sf_dir, "conversations"))
     return stages.binary_stream(rows.withColumn("k", F.concat_ws(":", "conv_id", "turn")), "k", "text")
 
 
@@ -254,9 +255,10 @@ def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partition_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns coded in 1 and in 8 partitions: rows on which the payloads differ."""
+    """Turns coded in one partition and in many: rows on which the payloads differ."""
     blocks = stages.split_blocks(_turns(spark, sf_dir), KIB)
-    one, many = (stages.encode(b).select("stream", "block_index", F.md5("payload").alias("digest")) for b in (blocks.coalesce(1), blocks.repartition(8, "stream", "block_index")))
+    coded = stages.encode(blocks), stages.per_block(blocks.coalesce(1), "payload binary", lambda bs: [(b.payload,) for b in encode_blocks(bs)])
+    many, one = (b.select("stream", "block_index", F.md5("payload").alias("digest")) for b in coded)
     return one.exceptAll(many).select(F.col("stream").alias("key"), "block_index")
 
 

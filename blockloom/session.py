@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "12g", partitions: int | None = None) -> SparkSession:
@@ -27,6 +27,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, where a table has fewer files than there are cores; larger tables stay as they are read."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
