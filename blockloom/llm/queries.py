@@ -4,61 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from ..session import spread, table
 from . import bpe, mixing, pii, repetition, separator_scan, simhash, suffix_dedup, toxicity, training_order, weighted_sampling
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's text with surrogates, and how many entities were replaced."""
-    return pii.replace_pii(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.replace_pii(_documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
 
 
 def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of each document."""
-    groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    groups = simhash.near_duplicates(_documents(spark, sf_dir))
     return groups.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
 def op3_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of each document."""
-    judged = repetition.judge_repetition(table(spark, sf_dir, "documents"))
+    judged = repetition.judge_repetition(_documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op4_consistent_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
-    return weighted_sampling.compare_fingerprints(table(spark, sf_dir, "documents"))
+    return weighted_sampling.compare_fingerprints(_documents(spark, sf_dir))
 
 
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's token count, found in the flat token files written of all of them."""
-    return separator_scan.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+    return separator_scan.count_tokens(_documents(spark, sf_dir)).select("doc_id", "n_tokens")
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sequence's slot in training order, and its ids as counted in the shard it was written to."""
-    return training_order.ordered_sequences(table(spark, sf_dir, "documents"))
+    return training_order.ordered_sequences(_documents(spark, sf_dir))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without repeated strings of 400 bytes."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.remove_repeats(_documents(spark, sf_dir)).drop("kept")
 
 
 def op8_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count and digests of each document's ids and of the text they decode to."""
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_documents(_documents(spark, sf_dir))
 
 
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document, learnt from the labels that aren't held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return toxicity.score_toxicity(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of each document."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""
