@@ -41,17 +41,24 @@ _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bi
 _PLACE = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes, width: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a UTF-8 text, unsigned."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The hash of each word shingle of a UTF-8 text, in order; none for a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = (ends - [len(w) for w in words])[: max(1, len(words) - width + 1)].tolist()
     ends = ends[width - 1 :].tolist() if len(words) >= width else [len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
+
+
+def fingerprint(text: bytes, width: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a UTF-8 text, unsigned."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
@@ -236,12 +243,13 @@ def fingerprint_hex(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """The documents without near-duplicates: one row of each component stays, whole and unchanged.
 
-    It is the row with the least doc_id (null last), then the least hash of its content.
+    It is the row with the least doc_id (null last), then the least hash of its content. Other groups than
+    those of near_duplicates are rows (doc_id, row_key, root).
     """
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs) if groups is None else groups
     first = F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "row_key"))
     kept = groups.groupBy("root").agg(first.alias("first")).select("first.row_key")
     names = docs.columns
