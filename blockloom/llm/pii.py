@@ -2,9 +2,9 @@
 
 Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social security numbers,
 IBANs, access keys, tokens and passwords, and names after a form of address. Each entity has a normal
-form (case, spaces and punctuation aside), so that all its spellings get one surrogate everywhere. A
-surrogate comes from a keyed hash of type and normal form and keeps the type's format: digits stay
-digits, hexadecimal stays hexadecimal, a card that passes the check-digit test passes it again, names
+form (case, spaces and punctuation aside; case counts in secrets that aren't hexadecimal), so that all
+its spellings get one surrogate everywhere. A surrogate comes from a keyed hash of type and normal form
+and keeps the type's format: digits stay digits, hexadecimal stays hexadecimal in its own case, a card that passes the check-digit test passes it again, names
 keep script and the gender of their form of address. Surrogates are compared with one another and with
 all originals of their type; whoever clashes draws again, until none does, so that different entities
 stay different and none becomes another.
@@ -32,6 +32,13 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle",
 _FORMS = "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 
+#: What a secret follows, in any case; the patterns look at it only behind a sign that may end it, which is quick.
+_SECRET = r"""(?i:token|secret|passw(?:or)?d|pwd|api_?key)\s?[=:]"""
+
+#: A secret whose case doesn't count, and account numbers that are hexadecimal too, by their countries.
+HEX_SECRET = r"^(?:[0-9a-f]+|[0-9A-F]+|[0-9A-Fa-f]{18,64})$"
+HEX_IBAN = r"^(?:(?:AE|BA|BE|DE|EE)\d{14,21}|AD\d{10}[0-9A-F]{12})$"
+
 #: What an entity looks like; at one place the first pattern that fits wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
@@ -41,12 +48,12 @@ PATTERNS = {
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\p{N})",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{13,19}\b",
-    "secret": r"""(?<=(?:token|secret|passw(?:or)?d|pwd|api_?key)\s?[=:]\s?["']?)(?=[^\s"']*\d)[A-Za-z0-9+/_-]{8,}|\b(?=[a-f]{0,63}\d)[0-9a-f]{18,64}\b""",
+    "secret": rf"""(?<=[=:\s"'])(?<=[=:]\s?["']?)(?<={_SECRET}\s?["']?)[A-Za-z0-9+/_-]{{8,}}|\b(?=[A-Fa-f]{{0,63}}\d)[0-9A-Fa-f]{{18,64}}\b""",
     "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Whatever lacks this has no entity: a cheap first look.
-TRACE = rf"[0-9@]|(?:{_FORMS})\.? \p{{Lu}}"
+TRACE = rf"[0-9@]|[=:](?<={_SECRET})|(?:{_FORMS})\.? \p{{Lu}}"
 
 _SYLLABLES = {
     "latin": ("ba", "be", "co", "da", "de", "fa", "go", "ha", "jo", "ka", "ke", "la", "le", "lo", "ma", "mi", "mo", "na", "ne", "no", "pa", "pe", "ra", "ri", "ro", "sa", "se", "ta", "te", "to", "va", "vi"),
@@ -135,6 +142,7 @@ def _kind(value: Column) -> Column:
         F.when(value.contains("@"), "email")
         .when(fits(rf"^(?:{_FORMS})\.? \p{{L}}"), "name")
         .when(fits(r"^(AKIA|ASIA)[A-Z0-9]{12,16}$"), "access")
+        .when(fits(r"^(?=\d*[A-F])[0-9A-F]{8,64}$") & ~fits(HEX_IBAN), "secret")
         .when(fits(r"^[A-Z]{2}\d{2} ?[A-Z0-9]{4}"), "iban")
         .when(fits(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(fits(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
@@ -149,7 +157,7 @@ def _parts(value: Column, kind: Column) -> Column:
     words = F.split(value, " ")
     gender = F.when(F.regexp_replace(words[0], r"\.$", "").isin(*MALE), "given_m").otherwise("given_f")
     named = F.transform(F.slice(words, 2, 9), lambda w, i: F.struct(F.when(i == F.size(words) - 2, F.lit("surname")).otherwise(gender).alias("kind"), w.alias("norm")))
-    plain = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "phone", F.regexp_replace(value, r"[^0-9+]", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).otherwise(value)
+    plain = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "phone", F.regexp_replace(value, r"[^0-9+]", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when((kind == "secret") & value.rlike(HEX_SECRET), F.lower(value)).otherwise(value)
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("norm"))))
 
 
@@ -157,7 +165,8 @@ def _rendered(value: str, kind: str, drawn: str) -> str:
     """SQL for a value's surrogate in the value's own spelling, from its parts' surrogates in order."""
     spelled = f"""aggregate(split({value}, ''), named_struct('out', '', 'at', 1), (s, c) ->
         IF(c rlike '[0-9A-Za-z+]', named_struct('out', concat(s.out, substr({drawn}[0], s.at, 1)), 'at', s.at + 1), named_struct('out', concat(s.out, c), 'at', s.at)), s -> s.out)"""
-    return f"CASE WHEN {kind} = 'name' THEN concat_ws(' ', concat(array(split({value}, ' ')[0]), {drawn})) WHEN {kind} IN ('card', 'ssn', 'phone', 'iban') THEN {spelled} ELSE {drawn}[0] END"
+    cased = f"array_join(transform(sequence(1, length({value})), i -> IF(substr({value}, i, 1) BETWEEN 'A' AND 'Z', upper(substr({drawn}[0], i, 1)), substr({drawn}[0], i, 1))), '')"
+    return f"CASE WHEN {kind} = 'name' THEN concat_ws(' ', concat(array(split({value}, ' ')[0]), {drawn})) WHEN {kind} IN ('card', 'ssn', 'phone', 'iban') THEN {spelled} WHEN {kind} = 'secret' THEN {cased} ELSE {drawn}[0] END"
 
 
 def draw_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:

@@ -89,6 +89,32 @@ def test_documents_keep_everything_else(spark, sf_dir):
     assert hits > 50
 
 
+def test_secrets_in_any_case(spark):
+    token, words = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b", ("token", "Token", "TOKEN", "PASSWORD", "Api_Key", "API_KEY", "Secret", "PWD")
+    out = scrub(spark, *(f'{w} = "{v}"' for w in words for v in (token, token.upper())), token.upper(), "DE12ABCDEF0123456789", "de12abcdef0123456789")
+    lower, upper = (re.fullmatch(r'token = "(\w{40})"', t).group(1) for t in out[:2])
+    assert lower.islower() and lower != token and upper == lower.upper() and out[-3] == upper
+    assert out[:-3] == [f'{w} = "{v}"' for w in words for v in (lower, upper)]
+    assert out[-2] == out[-1].upper() != "DE12ABCDEF0123456789" and re.fullmatch(r"[A-F]{2}\d\d[A-F]{6}\d{10}", out[-2])
+
+
+def test_secrets_without_digits_and_account_numbers(spark):
+    texts = ["password=correcthorse", "PASSWORD: CorrectHorse", "no word of it", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    out = scrub(spark, *texts)
+    assert re.fullmatch(r"password=[a-z]{12}", out[0]) and re.fullmatch(r"PASSWORD: [A-Z][a-z]{6}[A-Z][a-z]{4}", out[1])
+    assert out[0] != texts[0] and out[1] != texts[1] and out[2] == texts[2]
+    assert out[3].startswith("DE") and out[3] != texts[3] and out[4].replace(" ", "") == out[3]
+
+
+def test_upper_case_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shape = r"(?i)(?:token\s?=\s?\"|password=)([0-9a-f]{18,40})"
+    docs = docs.where(F.upper("text") == F.col("text")).where(F.col("text").rlike(shape))
+    before, after = ({r.doc_id: re.findall(shape, r.text) for r in d.collect()} for d in (docs, pii.replace_pii(docs)))
+    assert sum(map(len, before.values())) >= 10
+    assert all(len(after[i]) == len(old) and not set(after[i]) & set(old) for i, old in before.items())
+
+
 def test_cases(spark):
     texts = [None, "", "no digits", "7", "x" * 50_000 + " 10.0.0.1", "version 3.0", "CC BY-NC 4.0."]
     got = pii.replace_pii(frame(spark, texts)).orderBy("doc_id").collect()
