@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,13 +21,15 @@ PIECE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, one machine) is a temporary folder set.
+    Only where the session names none and runs in one process (tests) is a temporary folder set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blockloom-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -37,6 +40,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that shared_path named, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared folder; a lost executor loses none of them."""
     shared_dir(df.sparkSession)
@@ -109,18 +119,20 @@ def splitters(df: DataFrame, column: str, parts: int, accuracy: int = 10_000) ->
 
 
 def range_of(column: Column, cuts: list, descending: bool = False) -> Column:
-    """The number of the range a value falls into, by binary search over the cuts; null goes last."""
-    n = len(cuts)
-    if not n:
-        return F.lit(0)
-    if n <= 8:
-        place = sum((F.when(column > F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
-    else:
-        mid = n // 2
-        place = F.when(column > F.lit(cuts[mid]), range_of(column, cuts[mid + 1 :]) + mid + 1).otherwise(range_of(column, cuts[:mid]))
-    if descending:
-        place = F.lit(n) - place
-    return F.coalesce(place, F.lit(n + 1)).cast("int")
+    """The number of the range a value falls into, by binary search over the cuts; null goes last.
+
+    The cuts travel as one array beside the plan, whatever their number; only this column crosses to Python.
+    """
+    bounds, n = np.array(cuts), len(cuts)
+
+    @F.arrow_udf("int")
+    def place(values: pa.Array) -> pa.Array:
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        filled = values.fill_null(0).to_numpy(zero_copy_only=False)
+        found = np.searchsorted(bounds, filled, side="left") if n else np.zeros(len(filled), np.int64)
+        return pa.array(np.where(known, n - found if descending else found, n + 1).astype(np.int32))
+
+    return place(column)
 
 
 #: Base of the polynomial hashes, odd, and its inverse modulo 2^64.
@@ -150,3 +162,27 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     return hashes ^ (hashes >> np.uint64(32))
+
+
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_hashes(data: np.ndarray, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word, and the place where it starts; worked in pieces that end between words."""
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(data):
+        end = min(at + piece, len(data))
+        while end < len(data) and not _SPACE[data[end]]:
+            ahead = np.flatnonzero(_SPACE[data[end : end + piece]])
+            end = end + int(ahead[0]) if len(ahead) else min(end + piece, len(data))
+        part = data[at:end]
+        edges = np.flatnonzero(np.diff(np.r_[True, _SPACE[part], True]))
+        starts, stops = edges[::2], edges[1::2]
+        total = np.r_[np.uint64(0), np.cumsum(_BYTE_VALUES[part] * _powers(_INVERSE, len(part)))]
+        found = (total[stops] - total[starts]) * _powers(_BASE, len(part))[starts] + (stops - starts).astype(np.uint64)
+        found ^= found >> np.uint64(29)
+        found *= np.uint64(0xBF58476D1CE4E5B9)
+        hashes.append(found ^ (found >> np.uint64(32)))
+        places.append(starts + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(places)

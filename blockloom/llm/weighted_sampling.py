@@ -4,8 +4,9 @@ Terms are words, weighted by how often a text has them. For each of `SAMPLES` sa
 its hash, r and c from Gamma(2, 1) and b from the unit interval; with t = floor(ln w / r + b) its value
 is ln c - r (t - b) - r, and the term of least value, with its t, is the sample. Two texts agree in a
 sample with the probability of their generalised Jaccard similarity, the sum of lesser over the sum of
-greater weights. Draws come from a table of 2^16 triples made from a fixed seed, so that the values of
-any small weight are one table read.
+greater weights. Every term and sample has draws of its own, made of two 64-bit hashes: a Gamma(2, 1) is
+minus the logarithm of the product of two uniform numbers, one from each half of a hash. A task keeps the
+values of (term, weight) met before; what it keeps changes no result.
 
 Each text is compared with its edited form and with its successor by descending doc_id. Rows are dealt
 by ranges of doc_id, whose cuts are a few numbers, and sorted inside; the first row of a range also goes
@@ -19,98 +20,106 @@ Repeated rows: each stays. Empty table: no rows. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shuffle_partitions
-from .common import pieces, range_of, splitters
+from .common import pieces, range_of, splitters, word_hashes
 
 SAMPLES = 64
-#: Weights up to this have their values in tables.
-TABLED = 32
-#: Rows of terms worked on at a time, and term hashes a task keeps.
-ROWS, KEPT_TERMS = 8192, 500_000
-_DRAWS = 1 << 16
+#: Terms worked on at a time, and the binary logarithm of how many terms' values a task keeps (512 bytes each).
+ROWS, KEPT_BITS = 4096, 17
 _NONE = np.uint32(0xFFFFFFFF)
-
-
-def _values(weight: np.ndarray, r: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of values, as numbers under 2^32 in the high half of a uint64, and a scrambled t."""
-    t = np.floor(np.log(weight) / r + b)
-    value = (np.log(c) - r * (t - b) - r).astype(np.float32)
-    bits = value.view(np.uint32)
+#: What sets the hashes of the samples apart, and what draws b from the first of them.
+_SALTS = np.random.default_rng(4_711).integers(0, 1 << 63, (2, SAMPLES), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_THIRD = np.uint64(0xD1342543DE82EF95)
+_UNIT, _BELOW_ONE = np.float32(2.0**-32), np.float32(1 - 2.0**-24)
+
+
+def _hashed(terms: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """A well-mixed 64-bit number for each term and salt."""
+    x = terms[:, None] ^ salts[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _gamma(hashes: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) from the two halves of each hash."""
+    halves = (hashes.view(np.uint32).astype(np.float32) + np.float32(0.5)) * _UNIT
+    return -np.log(np.minimum(halves[:, ::2] * halves[:, 1::2], _BELOW_ONE))
+
+
+def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, c and b of each term and sample."""
+    first = _hashed(terms, _SALTS[0])
+    return _gamma(first), _gamma(_hashed(terms, _SALTS[1])), ((first * _THIRD) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+
+
+def sample_keys(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For terms and samples: the order of the value in the high half of a uint64, the term and its t in the low half."""
+    r, c, b = draws(terms)
+    low = np.broadcast_to((terms ^ (terms >> np.uint64(32)))[:, None], r.shape).astype(np.uint32)
+    more = weights > 1
+    t = np.floor(np.log(weights[more].astype(np.float32))[:, None] / r[more] + b[more])  # 0 where the weight is 1
+    low[more] ^= t.astype(np.int64).astype(np.uint32) * np.uint32(0x9E3779B1)
+    ahead = 1 - b
+    ahead[more] += t
+    bits = (np.log(c) - r * ahead).view(np.uint32)
     order = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
-    return order.astype(np.uint64) << np.uint64(32), (t.astype(np.int64) * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint64)
+    return order.astype(np.uint64) << np.uint64(32) | low
 
 
-@lru_cache(maxsize=1)
-def tables() -> tuple:
-    """Draws, multipliers of the samples, and for weights 1 to TABLED the values and t of all draws."""
-    rng = np.random.default_rng(4_711)
-    r, c, b = rng.gamma(2, 1, _DRAWS), rng.gamma(2, 1, _DRAWS), rng.random(_DRAWS)
-    multipliers = rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-    values, steps = zip(*(_values(np.float64(w), r, c, b) for w in range(1, TABLED + 1)), strict=True)
-    return (r, c, b), multipliers, np.concatenate(values), np.concatenate(steps)
+def weighted_terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the text, the term's hash and its weight, for each distinct word of each text; texts in order."""
+    terms, at = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    owners = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, side="right")
+    order = np.lexsort((terms, owners))
+    terms, owners = terms[order], owners[order]
+    starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (owners[1:] != owners[:-1])]) if len(terms) else order
+    return owners[starts], terms[starts], np.diff(np.r_[starts, len(terms)])
 
 
 class Sampler:
-    """Signatures of texts; keeps the hashes of words met before."""
+    """Signatures of texts; keeps the values of terms and their weights met before, each in a place of its own hash."""
 
-    def __init__(self) -> None:
-        self.hash_of: dict[bytes, int] = {}
+    def __init__(self, kept_bits: int = KEPT_BITS) -> None:
+        self.mask = np.uint64((1 << kept_bits) - 1)
+        self.tags = np.zeros(1 << kept_bits, np.uint64)
+        self.kept = np.empty((1 << kept_bits, SAMPLES), np.uint64)
 
     def signatures(self, texts: list[bytes]) -> np.ndarray:
         """A row of SAMPLES 32-bit numbers for each UTF-8 text."""
-        out = np.full((len(texts), SAMPLES), _NONE, np.uint32)
-        if len(self.hash_of) > KEPT_TERMS:
-            self.hash_of.clear()
-        hash_of, hashes, weights, sizes = self.hash_of, [], [], []
-        for text in texts:
-            counts = Counter(text.split())
-            for word in counts:
-                found = hash_of.get(word)
-                if found is None:
-                    found = hash_of[word] = xxhash.xxh3_64_intdigest(word)
-                hashes.append(found)
-            weights.extend(counts.values())
-            sizes.append(len(counts))
-        owners = np.repeat(np.arange(len(texts)), sizes)
-        terms, amounts = np.array(hashes, np.uint64), np.array(weights, np.int64)
+        owners, terms, weights = weighted_terms(texts)
         best = np.full((len(texts), SAMPLES), np.uint64(0xFFFFFFFFFFFFFFFF))
+        full = np.zeros(len(texts), bool)
         for at in range(0, len(terms), ROWS):
             own = owners[at : at + ROWS]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            keys = self._keys(terms[at : at + ROWS], amounts[at : at + ROWS])
-            least = np.minimum.reduceat(keys, starts, axis=0)
+            least = np.minimum.reduceat(self.keys(terms[at : at + ROWS], weights[at : at + ROWS]), starts, axis=0)
             best[own[starts]] = np.minimum(best[own[starts]], least)
-        full = np.array(sizes) > 0
-        out[full] = best[full].astype(np.uint32)
+            full[own] = True
+        return np.where(full[:, None], best.astype(np.uint32), _NONE)
+
+    def keys(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """sample_keys of the terms, worked out only for those that aren't kept."""
+        tags = (terms ^ (weights.astype(np.uint64) * _THIRD)) | np.uint64(1)
+        places = ((tags * _THIRD) >> np.uint64(32)) & self.mask
+        out = self.kept[places]
+        missing = np.flatnonzero(self.tags[places] != tags)
+        if len(missing):
+            _, first, again = np.unique(tags[missing], return_index=True, return_inverse=True)
+            fresh = missing[first]
+            made = sample_keys(terms[fresh], weights[fresh])
+            out[missing] = made[again]
+            self.kept[places[fresh]], self.tags[places[fresh]] = made, tags[fresh]
         return out
 
-    def _keys(self, terms: np.ndarray, amounts: np.ndarray) -> np.ndarray:
-        """For terms and samples: the value's order in the high half, the term and its t in the low half."""
-        (r, c, b), multipliers, values, steps = tables()
-        mixed = terms[:, None] * multipliers[None, :]
-        draw = mixed >> np.uint64(48)
-        tabled = amounts <= TABLED
-        place = draw + (np.where(tabled, amounts - 1, 0).astype(np.uint64) << np.uint64(16))[:, None]
-        keys = values[place]
-        more = np.flatnonzero(tabled & (amounts > 1))
-        low = (mixed ^ (mixed >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
-        low[more] ^= steps[place[more]]
-        for row in np.flatnonzero(~tabled).tolist():
-            at = draw[row]
-            keys[row], step = _values(np.float64(amounts[row]), r[at], c[at], b[at])
-            low[row] ^= step
-        return keys | low
-
 
 def fingerprint_hex(signature: np.ndarray) -> str:
     """Eight hexadecimal digits a sample."""
@@ -171,16 +180,21 @@ def with_successors(docs: DataFrame) -> DataFrame:
     parts = shuffle_partitions(docs.sparkSession)
     narrow = docs.select("doc_id", "text")
     place = range_of(F.col("doc_id"), splitters(narrow, "doc_id", 2 * parts), descending=True)
-    firsts = sorted((r["part"], r["first"]) for r in narrow.groupBy(place.alias("part")).agg(F.max("doc_id").alias("first")).collect())
-    before = {part: firsts[i - 1][0] for i, (part, _) in enumerate(firsts)}
-    # one lookup per row: the range's greatest doc_id, and the range before it
-    known = F.element_at(F.create_map(*(F.lit(x) for part, first in firsts if first is not None for x in (part, first))), F.col("part")) if any(f is not None for _, f in firsts) else F.lit(None)
-    previous = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part")) if before else F.lit(None).cast("int")
-    tail = F.array(F.struct(previous.alias("part"), F.lit(True).alias("tail")))
-    tails = F.when(F.col("doc_id").eqNullSafe(known), tail).otherwise(F.array().cast("array<struct<part:int,tail:boolean>>"))
+    firsts = dict(sorted((r["part"], r["first"]) for r in narrow.groupBy(place.alias("part")).agg(F.max("doc_id").alias("first")).collect()))
+    order = list(firsts)
+    before = {part: order[i - 1] for i, part in enumerate(order)}  # the first range comes after the last
+
+    @F.arrow_udf("int")
+    def previous(ids: pa.Array, places: pa.Array) -> pa.Array:
+        """The range before a row's own, if the row's doc_id is the greatest of its range."""
+        return pa.array([before.get(part) if own == firsts[part] else None for own, part in zip(ids.to_pylist(), places.to_pylist(), strict=True)], pa.int32())
+
+    tail = F.array(F.struct(F.col("previous").alias("part"), F.lit(True).alias("tail")))
+    tails = F.when(F.col("previous").isNotNull(), tail).otherwise(F.array().cast("array<struct<part:int,tail:boolean>>"))
     own = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")))
     return (
         narrow.withColumn("part", place)
+        .withColumn("previous", previous(F.col("doc_id"), F.col("part")))
         .select("doc_id", "text", F.explode(F.concat(own, tails)).alias("to"))
         .select("to.part", "to.tail", "doc_id", "text")
         .repartition(parts, "part")
