@@ -9,10 +9,12 @@ strings have equal anchors at equal places, so comparing suffixes at anchors alo
    A hash met once can be in no repeat; the rest, found by counting, go on.
 2. Suffixes: each remaining anchor becomes a suffix with its context, the bytes of all strings it
    anchors. Equal contexts of one hash are one row from here on.
-3. Suffix array: sampled splitters range-partition the suffixes by their leading bytes, buckets are
-   sorted by multikey quicksort, and neighbours of equal leading bytes, which no splitter parts, are
-   compared: the strings in their contexts, by 64-bit rolling hashes that are taken for the strings.
-   A bucket of more than `BUCKET` different contexts is split by the strings' hashes instead.
+3. Suffix array: sampled splitters range-partition the suffixes by their leading bytes, and buckets are
+   sorted by multikey quicksort. A string that starts d bytes before its anchor is met again where another
+   suffix has LENGTH - d bytes in common after the anchor and d before it. Both follow from the longest
+   common prefixes of neighbours, of the suffixes and of the reversed bytes before them: no hash decides.
+   Suffixes of equal leading bytes are never parted by a splitter, so nothing is to be compared across
+   buckets. A bucket of more than `BUCKET` different contexts is split by the strings' 128-bit digests.
 4. Runs of repeated strings return to their documents, are united and cut out.
 
 Matches never cross documents, and all are judged on the input.
@@ -162,47 +164,82 @@ def _suffix_rows(cuts: list[bytes], bytes_too: bool):
     return run
 
 
-def repeated_strings(contexts: list[bytes], copies: list[int]) -> list[list[tuple[int, int]]]:
-    """For each context, from and to which place strings of LENGTH bytes start that another place also has."""
-    joined = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    ends = np.cumsum(sizes)
-    hashes = window_hashes(joined, LENGTH)
-    owner = np.repeat(np.arange(len(contexts)), sizes)[: len(hashes)]
-    whole = np.flatnonzero(np.arange(len(hashes)) + LENGTH <= ends[owner])
-    hashes, owner = hashes[whole], owner[whole]
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    again = np.zeros(len(hashes), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again |= np.array(copies)[owner] > 1
-    place = whole - (ends - sizes)[owner]
-    starts = np.flatnonzero(again & np.r_[True, ~again[:-1] | (owner[1:] != owner[:-1])]) if len(again) else whole
-    stops = np.flatnonzero(again & np.r_[~again[1:] | (owner[1:] != owner[:-1]), True]) if len(again) else whole
+def neighbour_prefixes(texts: list[bytes]) -> np.ndarray:
+    """The longest common prefix of each byte string and the next."""
+    sizes = np.array([len(t) for t in texts])
+    width = max(1, int(sizes.max()))
+    rows = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
+    differ = rows[1:] != rows[:-1]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+
+
+def common_length(a: bytes, b: bytes) -> int:
+    """The longest common prefix of two byte strings."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def repeated_strings(contexts: list[bytes], ahead: list[int], copies: list[int]) -> list[list[tuple[int, int]]]:
+    """For contexts in the order of their suffixes: from and to which place strings of LENGTH bytes start that another place also has.
+
+    ahead: how many bytes of a context stand before its suffix.
+    """
+    if len(contexts) == 1:
+        return [[(0, len(contexts[0]) - LENGTH)] if copies[0] > 1 else []]
+    if len(contexts) == 2 and max(copies) == 1:
+        (one, other), (a, b) = contexts, ahead
+        before, after = common_length(one[:a][::-1], other[:b][::-1]), common_length(one[a:], other[b:])
+        return [[(max(0, at - before), at - (LENGTH - after))] if before + after >= LENGTH else [] for at in (a, b)]
+    n, at, sizes = len(contexts), np.array(ahead), np.array([len(c) for c in contexts])
+    lefts = [c[:a][::-1] for c, a in zip(contexts, ahead, strict=True)]
+    by_left = multikey_order(lefts)
+    after = neighbour_prefixes([c[a:] for c, a in zip(contexts, ahead, strict=True)])[:, None]
+    before = neighbour_prefixes([lefts[i] for i in by_left])[:, None]
+    least, most = int(np.maximum(0, at - (sizes - LENGTH)).min()), int(at.max())
+    again = np.zeros((n, most - least + 1), bool)
+    for low in range(least, most + 1, 64):  # strings that start d bytes before their anchor, for some d at a time
+        d = np.arange(low, min(low + 64, most + 1))
+        there = (d <= at[:, None]) & (at[:, None] - d + LENGTH <= sizes[:, None])
+        right, left = np.zeros((2, n, len(d)), np.int64)
+        right[1:] = np.cumsum(after < LENGTH - d, axis=0)
+        left[by_left[1:]] = np.cumsum(before < d, axis=0)
+        groups = np.where(there, right * n + left, n * n + np.arange(n)[:, None])
+        order = np.argsort(groups, axis=0, kind="stable")
+        ordered = np.take_along_axis(groups, order, axis=0)
+        same = np.zeros((n + 1, len(d)), bool)
+        same[1:-1] = ordered[1:] == ordered[:-1]
+        np.put_along_axis(again[:, low - least : low - least + len(d)], order, same[1:] | same[:-1], axis=0)
+        again[:, low - least : low - least + len(d)] |= there & (np.array(copies) > 1)[:, None]
+    edges = np.diff(np.pad(again[:, ::-1], ((0, 0), (1, 1))).astype(np.int8), axis=1)
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        out[owner[a]].append((int(place[a]), int(place[b])))
+    for (row, start), (_, stop) in zip(np.argwhere(edges == 1).tolist(), np.argwhere(edges == -1).tolist(), strict=True):
+        out[row].append((ahead[row] - most + start, ahead[row] - most + stop - 1))
     return out
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs (name, from, to) of repeated strings, from rows sorted by bucket.
+    """Runs (name, copies, from, to) of repeated strings, from rows sorted by bucket.
 
-    A bucket that is too full goes out string by string instead, as (name, at, at, string hash).
+    A bucket that is too full goes out string by string instead, as (name, copies, at, at, the string's digest).
     """
     held: list[tuple] = []
     bucket, over = None, False
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         columns = zip(*found, strict=True) if found else ([],) * 5
-        kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "start", "stop", "string", "copies"])
+        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "copies", "start", "stop", "string"])
 
     def strings(some: list[tuple]) -> Iterator[pa.RecordBatch]:
         for name, _, context, copies in some:
-            hashes = window_hashes(np.frombuffer(context, np.uint8), LENGTH).view(np.int64).tolist()
-            yield rows([(name, i, i, h, copies) for i, h in enumerate(hashes)])
+            yield rows([(name, copies, i, i, hashlib.blake2b(context[i : i + LENGTH], digest_size=16).digest()) for i in range(len(context) - LENGTH + 1)])
 
     def settled(some: list[tuple]) -> Iterator[pa.RecordBatch]:
         order = multikey_order([c[a:] for _, a, c, _ in some])
@@ -210,15 +247,11 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = 0, []
         while at < len(order):  # neighbours with one gram are compared, a run of them at a time
             to = at + 1
-            while to < len(order) and (leads[to] == leads[at]):
+            while to < len(order) and leads[to] == leads[at]:
                 to += 1
-            run = [some[i] for i in order[at:to]]
-            if len(run) == 1:
-                name, _, context, copies = run[0]
-                found += [(name, 0, len(context) - LENGTH, None, None)] if copies > 1 else []
-            else:
-                for (name, *_), spans in zip(run, repeated_strings([r[2] for r in run], [r[3] for r in run]), strict=True):
-                    found += [(name, a, b, None, None) for a, b in spans]
+            names, ahead, contexts, copies = zip(*(some[i] for i in order[at:to]), strict=True)
+            for name, n, spans in zip(names, copies, repeated_strings(list(contexts), list(ahead), list(copies)), strict=True):
+                found += [(name, n, a, b, None) for a, b in spans]
             at = to
         yield rows(found)
 
@@ -253,27 +286,27 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept)
             out.append((len(text), removed, runs, hashlib.sha256(rest).hexdigest(), rest))
         n_bytes, removed, runs, digests, rests = zip(*out, strict=True) if out else ([],) * 5
-        columns = [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(rests, pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        columns = [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array([r > 0 for r in removed], pa.bool_()), pa.array(rests, pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats", "kept"])
 
 
-def salted_join(found: DataFrame, twice: DataFrame) -> DataFrame:
-    """The anchors whose hash is in `twice`; rows of the HOT most frequent hashes are spread over SALTS tasks each."""
-    hot = F.broadcast(twice.orderBy(F.desc("n"), "hash").limit(HOT).select("hash", F.lit(True).alias("hot")))  # HOT rows at most
+def salted_join(rows: DataFrame, known: DataFrame, on: str, by: tuple[str, str]) -> DataFrame:
+    """Rows (on, ..) joined with rows (on, n, ..); those of the HOT greatest n are spread over SALTS tasks each, by two columns."""
+    hot = F.broadcast(known.groupBy(on).agg(F.max("n").alias("n")).orderBy(F.desc("n"), on).limit(HOT).select(on, F.lit(True).alias("hot")))  # HOT rows at most
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = twice.join(hot, "hash", "left").select("hash", F.explode(salts).alias("salt"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "at"), F.lit(SALTS))).otherwise(0).cast("int")
-    return found.join(hot, "hash", "left").withColumn("salt", salt).join(right, ["hash", "salt"])
+    right = known.drop("n").join(hot, on, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
+    return rows.join(hot, on, "left").withColumn("salt", salt).drop("hot").join(right, [on, "salt"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): `kept` is what is left, as bytes."""
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, kept): `kept` is what is left, as bytes."""
     parts = shuffle_partitions(docs.sparkSession)
     cuts = sample_splitters(docs)
     keyed = docs.select(row_key(docs).alias("key"), "text")
     found = keyed.mapInArrow(_anchor_rows, "hash long, key binary, at int, first int, last int")
     twice = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    by_text = salted_join(found, twice).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
+    by_text = salted_join(found, twice, "hash", ("key", "at")).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
     # dealt once: all joins with the texts read the same columns, so that they share this exchange
     dealt = docs.select(row_key(docs).alias("key"), "doc_id", "text").repartition(parts, "key")
     ready = dealt.join(by_text, "key", "left")
@@ -281,11 +314,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = ready.mapInArrow(_suffix_rows(cuts, False), "name binary, key binary, first int")
     distinct = contexts.groupBy("name").agg(F.first("bucket").alias("bucket"), F.first("ahead").alias("ahead"), F.first("context").alias("context"), F.count("*").alias("copies"))
     sorted_in = distinct.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    runs = sorted_in.mapInArrow(_compared, "name binary, start int, stop int, string long, copies long")
+    runs = cut(sorted_in.mapInArrow(_compared, "name binary, copies long, start int, stop int, string binary").withColumnRenamed("copies", "n"))
     pending = runs.where("string is not null")
-    again = pending.groupBy("string").agg(F.sum("copies").alias("n")).where("n > 1").select("string")
-    runs = runs.where("string is null").select("name", "start", "stop").union(pending.join(again, "string").select("name", "start", "stop"))
-    spans = runs.join(places, "name").groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop") + LENGTH).alias("b"))).alias("spans"))
+    again = pending.groupBy("string").agg(F.sum("n").alias("all")).where("all > 1").select("string")
+    runs = runs.where("string is null").drop("string").union(pending.join(again, "string").select("name", "n", "start", "stop"))
+    spans = salted_join(places, runs, "name", ("key", "first")).groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop") + LENGTH).alias("b"))).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = dealt.join(spans, "key", "left")
-    return done.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return done.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, kept binary")
