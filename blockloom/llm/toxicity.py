@@ -2,16 +2,17 @@
 
 The kernel counts character triples two strings have in common, with gaps: a triple spanning s
 characters counts DECAY^s, up to SPAN characters, so that a few inserted characters weaken a match but
-don't end it. Strings are the words of a sentence, lower-cased, without punctuation, between marks for
-start and end; single letters set apart by spaces are put together first. A sentence scores as its
-highest word; a document's highest words give its score, by a logistic fit.
-
-Training. Labels are of documents, so sentences get theirs in turns: all sentences of a clean document
-are clean; of a toxic document the ones that score highest stand for it. Landmarks are word beginnings
-that tell toxic from clean documents, picked to cover the toxic ones, and the clean words nearest to
-them; Nystrom features are the kernel values against the landmarks, whitened by the landmarks' own
-kernel matrix, and a squared-hinge machine is fitted on them. The fit uses at most `MOST_TOXIC` and
-`MOST_CLEAN` labelled documents, drawn by a hash of their id.
+don't end it. Strings are single words, lower-cased, without punctuation, between marks for start and
+end; single letters set apart by spaces are put together first. No string spans two words otherwise. A
+document's highest words give its score, by a logistic fit, so a sentence is as toxic as its worst words.
+
+Training. Labels are of documents, so words get theirs in turns: all words of a clean document are
+clean; of a toxic document the ones that score highest stand for it. Landmarks are word beginnings that
+tell toxic from clean documents, picked to cover the toxic ones, and the clean words nearest to them;
+Nystrom features are the kernel values against the landmarks, whitened by the landmarks' own kernel
+matrix, and a squared-hinge machine is fitted on them. The fit uses at most `MOST_TOXIC` and `MOST_CLEAN`
+labelled documents, drawn by a hash of their id, and of each kind no more than hold `MOST_CHARS`
+characters of distinct words. It is one task on an executor; the driver gets the finished table.
 
 Scoring. The machine is linear in the landmarks' kernel values, hence in the triples: one table of
 64^3 weights scores any word exactly, at a few table reads a character. Whole texts, no shuffle.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -40,6 +42,8 @@ from .common import pieces
 DECAY, SPAN = 0.8, 5
 #: Bounds of the training sample, in documents.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: Characters of their words, a document's distinct ones, for each kind.
+MOST_CHARS = 16 << 20
 #: Landmarks of each kind at most, turns of training, and the machine's cost of errors.
 LANDMARKS, TURNS, COST = 128, 4, 10.0
 #: A beginning may be in clean documents up to this share of its part in toxic ones.
@@ -167,16 +171,16 @@ def pick_landmarks(toxic: list[set[str]], clean: list[set[str]], most: int = LAN
     def beginnings(words: set[str]) -> set[str]:
         return {w[:k] for w in words for k in range(4, min(len(w), 10) + 1)}
 
-    of = [beginnings(words) for words in toxic]
-    n_toxic = Counter(b for found in of for b in found)
-    wanted = {b for b, n in n_toxic.items() if n >= 2}
-    n_clean = Counter(b for words in clean for b in beginnings(words) & wanted)
+    # beginnings are made again for each pass: all of them at once would take several times the words' memory
+    n_toxic = Counter(b for words in toxic for b in beginnings(words))
+    n_toxic = {b: n for b, n in n_toxic.items() if n >= 2}
+    n_clean = Counter(b for words in clean for b in beginnings(words) if b in n_toxic)
     share = len(toxic) / max(1, len(clean))
+    telling = {b for b, n in n_toxic.items() if n_clean[b] * share <= MIXED * n}
     docs_of: dict[str, set[int]] = {}
-    for i, found in enumerate(of):
-        for b in found & wanted:
-            if n_clean[b] * share <= MIXED * n_toxic[b]:
-                docs_of.setdefault(b, set()).add(i)
+    for i, words in enumerate(toxic):
+        for b in beginnings(words) & telling:
+            docs_of.setdefault(b, set()).add(i)
     times, picked = Counter(), []
     while docs_of and len(picked) < most:
         best = max(docs_of, key=lambda b: (len(docs_of[b]) - 5 * n_clean[b] * share, len(b), b))
@@ -298,20 +302,37 @@ def train(toxic: list[set[str]], clean: list[set[str]]) -> Model:
 def _units_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         found = ["\n".join(sorted(units(t or ""))) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.string())], ["toxic", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("doc_id"), pa.array(found, pa.string())], ["toxic", "doc_id", "words"])
+
+
+def _fit(most_chars: int):
+    """The trained model as one row, from the whole sample in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one: dict[str, str] = {}  # each word is held once
+        bags: dict[bool, list[set[str]]] = {True: [], False: []}
+        chars = {True: 0, False: 0}
+        for batch in batches:
+            for toxic, words in zip((t > 0 for t in batch.column("toxic").to_pylist()), batch.column("words").to_pylist(), strict=True):
+                chars[toxic] += len(words)
+                if chars[toxic] <= most_chars or not bags[toxic]:
+                    bags[toxic].append({one.setdefault(w, w) for w in words.split("\n") if w})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(bags[True], bags[False]))], pa.binary())], ["model"])
+
+    return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model:
     """A model from the labelled documents that aren't held out, at most so many of each kind."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = [marked.where("toxic > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_toxic), marked.where("toxic <= 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_clean)]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # bounded by the two limits
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "text").mapInArrow(_units_out, "toxic int, words string").toArrow()
-    found = sorted(zip((t > 0 for t in rows.column("toxic").to_pylist()), rows.column("words").to_pylist(), strict=True))
-    one: dict[str, str] = {}  # each word is held once
-    bags = [(t, {one.setdefault(w, w) for w in words.split("\n") if w}) for t, words in found]
-    return train([bag for t, bag in bags if t], [bag for t, bag in bags if not t])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", "doc_id", "text").mapInArrow(_units_out, f"toxic int, doc_id {kind}, words string")
+    whole = words.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "words")  # the bounded sample, in one task
+    found = whole.select("toxic", "words").mapInArrow(_fit(most_chars), "model binary").first()
+    return pickle.loads(found["model"]) if found else Model(None)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
