@@ -75,10 +75,9 @@ def main(args: list[str]) -> int:
     try:
         command, source, target, options = parse_arguments(args)
         from .plans import archive
-        from .session import local_session
+        from .session import any_session
 
-        threads = options.pop("threads", 0)
-        spark = local_session(threads or 8)
+        spark = any_session(options.pop("threads", 0))
         work = archive.compress_file if command == "compress" else archive.decompress_file
         print(report(command, work(spark, source, target, **options)))
         return 0

@@ -1,4 +1,4 @@
-"""Block coding kernels. They work on batches of blocks, so that bit-serial coders advance many blocks a step."""
+"""The formats: blocks, the byte container, tar trees."""
 
 
 class FormatError(ValueError):

@@ -1,119 +1,9 @@
-"""Coding of blocks: all codings are tried, the least stays, and what none shortens is kept raw."""
-
-from __future__ import annotations
-
-import zlib
-from dataclasses import dataclass
-
-from . import FormatError
-from .entropy import cm_decode, cm_encode, rc_decode, rc_encode, run_symbols
-from .sorting import bwt_decode, bwt_encode, lzp_decode, lzp_encode, mtf_decode, mtf_encode
+"""What a coded block is: its modes, bounds and header fields. The coders are in `kernels`, the rules in `functions.columns`."""
 
 RAW, RANKED, MIXED = 0, 1, 2
 LEAST_BLOCK, MOST_BLOCK = 1 << 10, 1 << 30
 #: Shortest runs that are spelled with digits, in the order of preference among equal sizes.
 EXTENSIONS = (2, 3)
+#: Bytes of context that a slot is hashed from, and the slot hash's multiplier (fixed values of the format).
+CONTEXT, SLOT_FACTOR = 8, 0x9E3779B97F4A7C15
 
-
-@dataclass(frozen=True)
-class Block:
-    """A coded block: what its header says, and its payload."""
-
-    mode: int
-    lzp: bool
-    original_size: int
-    primary_index: int
-    intermediate_size: int
-    checksum: int
-    payload: bytes
-
-    @property
-    def payload_size(self) -> int:
-        return len(self.payload)
-
-
-def hash_bits(size: int) -> int:
-    """Bits of the slot table for a stream: the least of 20 to 26 with a slot for every four bytes."""
-    return next((b for b in range(20, 26) if 4 << b >= size), 26)
-
-
-def candidates(blocks: list[bytes]) -> list[list[Block]]:
-    """For each block its codings in the order of preference: mixed, ranked with either spelling, collapsed and mixed."""
-    collapsed = [lzp_encode(b, hash_bits(len(b))) for b in blocks]
-    shorter = [i for i, c in enumerate(collapsed) if c is not None]
-    columns = bwt_encode(blocks + [collapsed[i] for i in shorter])
-    mixed = cm_encode([c for c, _ in columns])
-    ranks = [mtf_encode(c) for c, _ in columns[: len(blocks)]]
-    out: list[list[Block]] = []
-    for i, block in enumerate(blocks):
-        out.append([Block(MIXED, False, len(block), columns[i][1], 0, zlib.adler32(block), mixed[i])])
-    for extension in EXTENSIONS:
-        symbols = [run_symbols(r, extension) for r in ranks]
-        for i, payload in enumerate(rc_encode(symbols)):
-            out[i].append(Block(RANKED, False, len(blocks[i]), columns[i][1], len(symbols[i]), zlib.adler32(blocks[i]), payload))
-    for place, i in enumerate(shorter, len(blocks)):
-        out[i].append(Block(MIXED, True, len(blocks[i]), columns[place][1], len(collapsed[i]), zlib.adler32(blocks[i]), mixed[place]))
-    return out
-
-
-def encode_blocks(blocks: list[bytes]) -> list[Block]:
-    """The least coding of each block; the first of equals."""
-    out = []
-    for block, found in zip(blocks, candidates(blocks) if blocks else [], strict=True):
-        best = min(found, key=lambda b: b.payload_size)
-        out.append(best if best.payload_size < len(block) else Block(RAW, False, len(block), 0, 0, zlib.adler32(block), block))
-    return out
-
-
-def header_error(block: Block, version: int = 2) -> str | None:
-    """What is wrong with a block's header, if anything."""
-    b = block
-    if b.mode not in ((RAW, RANKED) if version == 1 else (RAW, RANKED, MIXED)):
-        return "unknown block mode"
-    if b.lzp and version == 1:
-        return "unknown block flags"
-    if not 0 < b.payload_size <= b.original_size:
-        return "impossible payload size"
-    if b.mode == RAW and (b.payload_size != b.original_size or b.primary_index or b.intermediate_size or b.lzp):
-        return "invalid raw block"
-    if b.mode == RANKED and (b.lzp or not 1 <= b.primary_index <= b.original_size or not 1 <= b.intermediate_size <= b.original_size):
-        return "invalid ranked block"
-    if b.mode == MIXED:
-        coded = b.intermediate_size if b.lzp else b.original_size
-        if not 1 <= b.primary_index <= coded or (b.intermediate_size >= b.original_size if b.lzp else b.intermediate_size):
-            return "invalid mixed block"
-    return None
-
-
-def decode_blocks(blocks: list[Block], version: int = 2) -> list[bytes | FormatError]:
-    """The original of each block; an error stands in the place of one that is malformed."""
-    out: list[bytes | FormatError] = [b""] * len(blocks)
-    for i, block in enumerate(blocks):
-        if (error := header_error(block, version)) is not None:
-            out[i] = FormatError(error)
-    mixed = [i for i, b in enumerate(blocks) if b.mode == MIXED and not isinstance(out[i], FormatError)]
-    columns = dict(zip(mixed, cm_decode([blocks[i].payload for i in mixed], [blocks[i].intermediate_size if blocks[i].lzp else blocks[i].original_size for i in mixed]), strict=True))
-    for i, block in enumerate(blocks):
-        if isinstance(out[i], FormatError):
-            continue
-        try:
-            out[i] = _restored(block, columns.get(i))
-        except FormatError as error:
-            out[i] = error
-    return out
-
-
-def _restored(block: Block, column: bytes | FormatError | None) -> bytes:
-    if isinstance(column, FormatError):
-        raise column
-    if block.mode == RAW:
-        data = block.payload
-    elif block.mode == RANKED:
-        data = bwt_decode(mtf_decode(rc_decode(block.payload, block.intermediate_size, block.original_size)), block.primary_index)
-    else:
-        data = bwt_decode(column, block.primary_index)
-        if block.lzp:
-            data = lzp_decode(data, block.original_size, hash_bits(block.original_size))
-    if zlib.adler32(data) != block.checksum:
-        raise FormatError("block checksum mismatch")
-    return data

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import struct
-import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from . import FormatError
-from .blocks import LEAST_BLOCK, MOST_BLOCK, Block, decode_blocks, encode_blocks, hash_bits, header_error
-from .sorting import lzp_decode, lzp_encode
+from .blocks import LEAST_BLOCK, MOST_BLOCK
 
 #: Fixed values of the byte format.
 MAGIC, VERSION, DIRECTORY, STREAM_LZP = b"MZIP", 2, 1, 2
@@ -27,15 +26,29 @@ class StreamHeader:
 
 
 @dataclass(frozen=True)
-class Archive:
-    """What an archive's headers say, and its blocks."""
+class Head:
+    """A block's header, and where its payload begins."""
+
+    mode: int
+    lzp: bool
+    original_size: int
+    payload_size: int
+    primary_index: int
+    intermediate_size: int
+    checksum: int
+    place: int
+
+
+@dataclass(frozen=True)
+class Index:
+    """What an archive's headers say."""
 
     version: int
     directory: bool
     block_size: int
     original_size: int
     stream: StreamHeader | None
-    blocks: list[Block]
+    heads: list[Head]
 
 
 def choose_block_size(size: int, explicit: int | None = None, profile: str = "default") -> int:
@@ -53,109 +66,38 @@ def choose_block_size(size: int, explicit: int | None = None, profile: str = "de
 
 def block_count(size: int, block_size: int) -> int:
     """Blocks of a stream, none for an empty one."""
-    count = (size - 1) // block_size + 1 if size else 0
-    if count >> 32:
-        raise ValueError("too many blocks")
-    return count
-
-
-def split(data: bytes, block_size: int) -> list[bytes]:
-    """A stream's blocks in order; the last one may be shorter."""
-    return [data[i : i + block_size] for i in range(0, len(data), block_size)]
-
-
-def encoded_size(blocks: list[Block]) -> int:
-    """Bytes of blocks with their headers."""
-    return sum(HEADER_BYTES + b.payload_size for b in blocks)
-
-
-def keep_stream_pass(original: int, collapsed: int, with_pass: int, without: int) -> bool:
-    """Whether the collapsed stream stays: if it is shorter by a tenth, or if its archive is, stream header included."""
-    return collapsed < original - original // 10 or with_pass + _STREAM.size < without
-
-
-def compress(data: bytes, block_size: int | None = None, profile: str = "default", directory: bool = False) -> Archive:
-    """The archive of a byte stream that is at hand as a whole."""
-    return compress_all([data], block_size, profile, directory)[0]
-
-
-def compress_all(contents: list[bytes], block_size: int | None = None, profile: str = "default", directory: bool = False) -> list[Archive]:
-    """The archives of many byte streams; the blocks of all of them are coded together."""
-    sizes = [choose_block_size(len(c), block_size, profile) for c in contents]
-    collapsed = [lzp_encode(c, hash_bits(len(c))) if size < len(c) <= STREAM_MOST else None for c, size in zip(contents, sizes, strict=True)]
-    parts: list[list[bytes]] = []
-    for content, size, short in zip(contents, sizes, collapsed, strict=True):
-        decisive = short is not None and len(short) < len(content) - len(content) // 10
-        parts += [[] if decisive else split(content, size), split(short, size) if short is not None else []]
-    coded = iter(encode_blocks([b for some in parts for b in some]))
-    blocks = [[next(coded) for _ in some] for some in parts]
-    out = []
-    for i, (content, size, short) in enumerate(zip(contents, sizes, collapsed, strict=True)):
-        plain, passed, stream = blocks[2 * i], blocks[2 * i + 1], None
-        if short is not None and keep_stream_pass(len(content), len(short), encoded_size(passed), encoded_size(plain)):
-            stream, plain = StreamHeader(len(short), zlib.adler32(content), hash_bits(len(content))), passed
-        out.append(Archive(VERSION, directory, size, len(content), stream, plain))
-    return out
-
-
-def restore(archive: Archive) -> bytes:
-    """The byte stream of an archive; FormatError if anything is amiss."""
-    (found,) = restore_all([archive])
-    if isinstance(found, FormatError):
-        raise found
-    return found
-
-
-def restore_all(archives: list[Archive]) -> list[bytes | FormatError]:
-    """The byte streams of many archives, their blocks decoded together; an error stands in the place of a malformed one."""
-    every = iter(decode_blocks([b for a in archives for b in a.blocks]))
-    out: list[bytes | FormatError] = []
-    for archive in archives:
-        parts = [next(every) for _ in archive.blocks]
-        try:
-            out.append(_joined(archive, parts))
-        except FormatError as error:
-            out.append(error)
-    return out
-
-
-def _joined(archive: Archive, parts: list[bytes | FormatError]) -> bytes:
-    for block, part in zip(archive.blocks, parts, strict=True):
-        if isinstance(part, FormatError):
-            raise part
-        if (error := header_error(block, archive.version)) is not None:
-            raise FormatError(error)
-    data = b"".join(parts)
-    if archive.stream:
-        data = lzp_decode(data, archive.original_size, archive.stream.hash_bits)
-        if zlib.adler32(data) != archive.stream.checksum:
-            raise FormatError("stream checksum mismatch")
-    if len(data) != archive.original_size:
-        raise FormatError("archive restores another size")
-    return data
-
-
-def pack_block_header(b: Block) -> bytes:
-    return _BLOCK.pack(b.mode, int(b.lzp), 0, b.original_size, b.payload_size, b.primary_index, b.intermediate_size, b.checksum)
-
-
-def pack_file_header(archive: Archive) -> bytes:
-    flags = DIRECTORY * archive.directory | STREAM_LZP * (archive.stream is not None)
-    head = _FILE.pack(MAGIC, archive.version, flags, b"\0\0", archive.block_size, archive.original_size, len(archive.blocks))
-    s = archive.stream
-    return head + (_STREAM.pack(s.coded_size, s.checksum, s.hash_bits, b"\0\0\0") if s else b"")
-
-
-def pack(archive: Archive) -> bytes:
-    """The archive's bytes."""
-    return pack_file_header(archive) + b"".join(pack_block_header(b) + b.payload for b in archive.blocks)
-
-
-def parse(data: bytes) -> Archive:
-    """The archive of some bytes, every header checked; payloads are sliced, not decoded."""
-    if len(data) < _FILE.size:
+    return (size - 1) // block_size + 1 if size else 0
+
+
+def slot_bits(size: int) -> int:
+    """Bits of the slot table for a stream: the least of 20 to 26 with a slot for every four bytes."""
+    return next((b for b in range(20, 26) if 4 << b >= size), 26)
+
+
+def pack_block_header(mode: int, lzp: bool, original: int, payload: int, primary: int, middle: int, checksum: int) -> bytes:
+    return _BLOCK.pack(mode, int(lzp), 0, original, payload, primary, middle, checksum)
+
+
+def pack_file_header(block_size: int, original: int, blocks: int, directory: bool = False, stream: StreamHeader | None = None, version: int = VERSION) -> bytes:
+    flags = DIRECTORY * directory | STREAM_LZP * (stream is not None)
+    head = _FILE.pack(MAGIC, version, flags, b"\0\0", block_size, original, blocks)
+    return head + (_STREAM.pack(stream.coded_size, stream.checksum, stream.hash_bits, b"\0\0\0") if stream else b"")
+
+
+def file_header_bytes(stream: bool) -> int:
+    """Where the first block header is."""
+    return _FILE.size + _STREAM.size * stream
+
+
+def index(read: Callable[[int, int], bytes], size: int) -> Index:
+    """The index of an archive of `size` bytes, of which read(place, n) gives n; payloads are not read.
+
+    The framing is checked. What a block's own fields may be is the rule of `columns.header_error`, which
+    decoding asks.
+    """
+    if size < _FILE.size:
         raise FormatError("truncated archive header")
-    magic, version, flags, reserved, block_size, original, count = _FILE.unpack_from(data)
+    magic, version, flags, reserved, block_size, original, count = _FILE.unpack(read(0, _FILE.size))
     if magic != MAGIC:
         raise FormatError("not an archive")
     if version not in (1, 2):
@@ -166,32 +108,34 @@ def parse(data: bytes) -> Archive:
         raise FormatError("block size out of range")
     place, stream, coded = _FILE.size, None, original
     if flags & STREAM_LZP:
-        if len(data) < place + _STREAM.size:
+        if size < place + _STREAM.size:
             raise FormatError("truncated stream header")
-        coded, checksum, bits, reserved = _STREAM.unpack_from(data, place)
+        coded, checksum, bits, reserved = _STREAM.unpack(read(place, _STREAM.size))
         place += _STREAM.size
         if reserved != b"\0\0\0" or not 0 < coded < original <= STREAM_MOST or not 20 <= bits <= 26:
             raise FormatError("invalid stream header")
         stream = StreamHeader(coded, checksum, bits)
-    if count != ((coded - 1) // block_size + 1 if coded else 0):
+    if count != block_count(coded, block_size):
         raise FormatError("unexpected block count")
-    blocks, left = [], coded
+    heads, left = [], coded
     for _ in range(count):
-        if len(data) < place + HEADER_BYTES:
+        if size < place + HEADER_BYTES:
             raise FormatError("truncated block header")
-        mode, flag, reserved, size, payload, primary, middle, checksum = _BLOCK.unpack_from(data, place)
+        mode, flag, reserved, part, payload, primary, middle, checksum = _BLOCK.unpack(read(place, HEADER_BYTES))
         place += HEADER_BYTES
         if flag & ~1 or reserved or (version == 1 and flag):
             raise FormatError("unknown block flags")
-        if size != min(left, block_size):
+        if part != min(left, block_size):
             raise FormatError("unexpected block size")
-        if payload > len(data) - place:
+        if payload > size - place:
             raise FormatError("truncated block payload")
-        block = Block(mode, bool(flag), size, primary, middle, checksum, data[place : place + payload])
-        if (error := header_error(block, version)) is not None:
-            raise FormatError(error)
-        blocks.append(block)
-        place, left = place + payload, left - size
-    if place != len(data):
+        heads.append(Head(mode, bool(flag), part, payload, primary, middle, checksum, place))
+        place, left = place + payload, left - part
+    if place != size:
         raise FormatError("bytes after the end of the archive")
-    return Archive(version, bool(flags & DIRECTORY), block_size, original, stream, blocks)
+    return Index(version, bool(flags & DIRECTORY), block_size, original, stream, heads)
+
+
+def parse(data: bytes) -> Index:
+    """The index of an archive at hand."""
+    return index(lambda place, n: data[place : place + n], len(data))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from . import FormatError
@@ -50,38 +52,45 @@ def header(name: bytes, size: int, kind: bytes) -> bytes:
     return fields[:148] + b"%06o\0 " % sum(fields) + fields[156:]
 
 
-def entry_parts(entry: Entry) -> Iterator[bytes]:
-    """An entry's records: a long-name record if need be, its header, its padded content."""
-    name = entry.path.encode() + (b"/" if entry.directory else b"")
+def heads(path: str, directory: bool, size: int) -> bytes:
+    """What goes before an entry's content: a long-name record if need be, and its header."""
+    name, first = path.encode("utf-8", "surrogateescape") + (b"/" if directory else b""), b""
     if split_name(name) is None:
-        yield header(LONG_NAME.encode(), len(name) + 1, b"L")
-        yield name + b"\0" * (1 + padding(len(name) + 1))
-    yield header(name, 0 if entry.directory else len(entry.content), b"5" if entry.directory else b"0")
-    if not entry.directory:
-        yield entry.content + b"\0" * padding(len(entry.content))
+        first = header(LONG_NAME.encode(), len(name) + 1, b"L") + name + b"\0" * (1 + padding(len(name) + 1))
+    return first + header(name, size, b"5" if directory else b"0")
 
 
 def write(entries: list[Entry]) -> bytes:
     """The tar stream of entries, in the order of their paths."""
-    parts = [part for e in sorted(entries, key=lambda e: e.path.encode()) for part in entry_parts(e)]
-    return b"".join(parts) + b"\0" * 2 * RECORD
+    ordered = sorted(entries, key=lambda e: e.path.encode())
+    return b"".join(heads(e.path, e.directory, len(e.content)) + e.content + b"\0" * padding(len(e.content)) for e in ordered) + b"\0" * 2 * RECORD
 
 
-def read_tree(root: str) -> list[Entry]:
-    """The entries below a folder; only regular files and folders are allowed."""
-    out = []
+def _below(root: str) -> Iterator[tuple[str, str, bool]]:
+    """(stored path, full path, whether it is a folder) of what is below a folder; only regular files and folders are allowed."""
     for at, folders, files in os.walk(root):
-        for name in sorted(folders + files):
+        for name in folders + files:
             full = os.path.join(at, name)
             path = os.path.relpath(full, root).replace(os.sep, "/")
             if os.path.islink(full) or not (os.path.isdir(full) or os.path.isfile(full)):
                 raise ValueError(f"{path} is neither a regular file nor a folder")
-            if os.path.isdir(full):
-                out.append(Entry(path, True))
-            else:
+            yield path, full, os.path.isdir(full)
+
+
+def write_tree(root: str, target: str) -> None:
+    """Writes the tar stream of a folder to a file, a piece at a time."""
+    with open(target, "wb") as out:
+        for path, full, directory in sorted(_below(root), key=lambda e: os.fsencode(e[0])):
+            size = 0 if directory else os.path.getsize(full)
+            out.write(heads(path, directory, size))
+            if not directory:
+                start = out.tell()
                 with open(full, "rb") as file:
-                    out.append(Entry(path, False, file.read()))
-    return out
+                    shutil.copyfileobj(file, out, 1 << 20)
+                if out.tell() - start != size:
+                    raise OSError("input changed while it was read")
+                out.write(b"\0" * padding(size))
+        out.write(b"\0" * 2 * RECORD)
 
 
 def safe_path(stored: str) -> str:
@@ -110,55 +119,67 @@ def parse_size(field: bytes) -> int:
     return int(digits or b"0", 8)
 
 
-def parse(stream: bytes) -> list[Entry]:
-    """The entries of a tar stream, paths checked; FormatError if it is malformed."""
-    out, place, long_name, n = [], 0, None, len(stream)
+def scan(read: Callable[[int, int], bytes], n: int) -> Iterator[tuple[str, bool, int, int]]:
+    """(path, whether it is a folder, place and size of the content) of the entries of a tar stream of n bytes, of which read(place, size) gives a part.
+
+    Paths are checked; FormatError where the stream turns out malformed.
+    """
+    place, long_name = 0, None
     while True:
         if place + RECORD > n:
             raise FormatError("tar stream ends early")
-        record = stream[place : place + RECORD]
+        record = read(place, RECORD)
         place += RECORD
         if not any(record):
-            if long_name is not None or place + RECORD > n or any(stream[place : place + RECORD]):
+            if long_name is not None or place + RECORD > n or any(read(place, RECORD)):
                 raise FormatError("bad end of the tar stream")
-            if any(stream[place + RECORD :]) or n != place + RECORD:
+            if n != place + RECORD:
                 raise FormatError("bytes after the end of the tar stream")
-            return out
+            return
         kind, size = record[156:157], parse_size(record[124:136])
         if size > n - place:
             raise FormatError("tar entry longer than the stream")
-        body = stream[place : place + size]
-        place += size + padding(size)
+        body, place = place, place + size + padding(size)
         if kind == b"L":
-            if long_name is not None or not 0 < size <= LONG_MOST or not _text(body):
+            if long_name is not None or not 0 < size <= LONG_MOST or not _text(read(body, size)):
                 raise FormatError("bad long name in the tar stream")
-            long_name = _text(body)
+            long_name = _text(read(body, size))
             continue
         prefix, name = _text(record[345:500]), _text(record[:100])
         full = long_name if long_name is not None else prefix + b"/" + name if prefix else name
         long_name = None
         if kind not in (b"0", b"\0", b"5") or (kind == b"5" and size):
             raise FormatError("unsupported tar entry")
-        out.append(Entry(safe_path(full.decode("utf-8", "surrogateescape").rstrip("/") if kind == b"5" else full.decode("utf-8", "surrogateescape")), kind == b"5", body))
+        path = full.decode("utf-8", "surrogateescape")
+        yield safe_path(path.rstrip("/") if kind == b"5" else path), kind == b"5", body, size
 
 
-def extract(stream: bytes, target: str) -> None:
-    """Writes a tar stream's entries below a folder that must not exist; nothing stays behind on failure."""
+def parse(stream: bytes) -> list[Entry]:
+    """The entries of a tar stream at hand."""
+    return [Entry(path, directory, stream[place : place + size]) for path, directory, place, size in scan(lambda place, n: stream[place : place + n], len(stream))]
+
+
+def extract_file(source: str, target: str) -> None:
+    """Writes the entries of a tar file below a folder that must not exist, a piece at a time; nothing stays behind on failure."""
     if os.path.lexists(target):
         raise ValueError(f"{target} exists")
-    entries = parse(stream)
-    staging = f"{target}.tmp.{os.getpid()}"
+    staging = f"{target}.tmp.{uuid.uuid4().hex}"
     os.makedirs(staging)
     try:
-        for entry in entries:
-            full = os.path.join(staging, entry.path)
-            os.makedirs(full if entry.directory else os.path.dirname(full), exist_ok=True)
-            if not entry.directory:
-                with open(full, "wb") as file:
-                    file.write(entry.content)
+        with open(source, "rb") as stream:
+
+            def read(place: int, n: int) -> bytes:
+                stream.seek(place)
+                return stream.read(n)
+
+            for path, directory, place, size in scan(read, os.path.getsize(source)):
+                full = os.path.join(staging, path)
+                os.makedirs(full if directory else os.path.dirname(full), exist_ok=True)
+                if not directory:
+                    with open(full, "wb") as out:
+                        for at in range(place, place + size, 1 << 20):
+                            out.write(read(at, min(1 << 20, place + size - at)))
         os.rename(staging, target)
     except BaseException:
-        import shutil
-
         shutil.rmtree(staging, ignore_errors=True)
         raise

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..codec.blocks import LEAST_BLOCK, MOST_BLOCK
-from ..codec.container import AUTO_LEAST, AUTO_MOST, AUTO_PARTS, HEADER_BYTES
+from ..codec.container import AUTO_LEAST, AUTO_MOST, AUTO_PARTS, DIRECTORY, HEADER_BYTES, MAGIC, STREAM_LZP, VERSION, file_header_bytes
 from ..codec.tree import NAME_MOST, OCTAL_MOST, PREFIX_MOST, RECORD
 
 
@@ -120,6 +120,30 @@ def block_header_hex(mode: Column, lzp: Column, original: Column, payload: Colum
     return F.concat(le_hex(mode, 1), le_hex(lzp.cast("long"), 1), F.lit("0000"), *(le_hex(c, 4) for c in (original, payload, primary, middle, checksum)))
 
 
+def file_header_hex(block_size: Column, original: Column, blocks: Column, directory: Column, stream: Column, coded: Column, checksum: Column, bits: Column) -> Column:
+    """An archive's header in hexadecimal; with the stream pass, the collapsed size, the checksum and the slot bits follow."""
+    flags = F.when(directory, DIRECTORY).otherwise(0) + F.when(stream, STREAM_LZP).otherwise(0)
+    head = F.concat(F.lit(MAGIC.hex().upper()), le_hex(F.lit(VERSION), 1), le_hex(flags, 1), F.lit("0000"), le_hex(block_size, 4), le_hex(original, 8), le_hex(blocks, 4))
+    return F.when(stream, F.concat(head, le_hex(coded, 8), le_hex(checksum, 4), le_hex(bits, 1), F.lit("000000"))).otherwise(head)
+
+
+def least_coding(sizes: list[Column], original: Column) -> Column:
+    """Which coding of a block stays: the place of the least size, the first of equals; -1 for raw, where none is under the original's."""
+    best = F.array_min(F.filter(F.array(*(F.struct(s.cast("long").alias("size"), F.lit(i).cast("long").alias("coding")) for i, s in enumerate(sizes))), lambda x: x["size"].isNotNull()))
+    return F.when(best["size"] < original, best["coding"]).otherwise(F.lit(-1)).cast("long")
+
+
+def stream_pass_decisive(original: Column, collapsed: Column) -> Column:
+    """Whether a collapsed stream is shorter by more than a tenth: then the other way isn't tried."""
+    return collapsed < original - F.floor(original / 10)
+
+
+def stream_pass_kept(original: Column, collapsed: Column, with_pass: Column, without: Column) -> Column:
+    """Whether a collapsed stream stays: if that is decisive, or its archive is smaller, stream header included."""
+    header = file_header_bytes(True) - file_header_bytes(False)
+    return (collapsed < original) & (stream_pass_decisive(original, collapsed) | (with_pass + header < without))
+
+
 def header_error(version: Column, mode: Column, lzp: Column, original: Column, payload: Column, primary: Column, middle: Column) -> Column:
     """The first thing wrong with a block header, null if nothing is."""
     coded = F.when(lzp, middle).otherwise(original)

@@ -1,24 +1,24 @@
 """Every stage as a DataFrame operator over rows (stream, block_index, bytes).
 
-Stages with a relational form have it here, next to kernels over Arrow batches for the hot path: a long
-binary is cut into blocks before any of its bytes become rows.
+Coders are SQL functions of the JVM (`kernels`), so that a stage is a projection; what has a relational form
+has it here. Arrow batches are used only where numpy counts bytes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..codec import FormatError, container, entropy, sorting
-from ..codec.blocks import Block, candidates, decode_blocks, encode_blocks
+from .. import kernels
+from ..codec.blocks import CONTEXT, EXTENSIONS, MIXED, RANKED, RAW, SLOT_FACTOR
+from ..functions import columns as c
 from ..session import shuffle_partitions
 
-#: Bytes of blocks coded together in a task.
+#: Bytes of blocks that a step in Python works on together.
 BATCH_BYTES = 4 << 20
 
 
@@ -29,22 +29,18 @@ def binary_stream(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).alias("stream"), F.coalesce(content, F.lit(b"")).alias("content"))
 
 
-def split_blocks(streams: DataFrame, block_size: int) -> DataFrame:
-    """Rows (stream, block_index, bytes): equal blocks, the last one shorter; an empty stream has none.
+def slices(content: Column, size: Column | int) -> Column:
+    """A binary in equal parts as an array, the last one shorter; none for an empty one."""
+    size = F.lit(size) if isinstance(size, int) else size
+    number = F.floor((F.length(content) - 1) / size).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), number), lambda i: F.substring(content, (i * size + 1).cast("int"), size.cast("int")))
+    return F.when(F.length(content) > 0, parts).otherwise(F.array().cast("array<binary>"))
 
-    Cut in Arrow batches: the content crosses once, whatever the number of its blocks.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, content in enumerate(batch.column("content")):
-                view = memoryview(content.as_buffer() or b"")
-                parts = [bytes(view[a : a + block_size]) for a in range(0, len(view), block_size)]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array([i] * len(parts))), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], ["stream", "block_index", "bytes"])
-
-    kind = streams.schema["stream"].dataType.simpleString()
-    return streams.mapInArrow(run, f"stream {kind}, block_index long, bytes binary")
+def split_blocks(streams: DataFrame, block_size: int) -> DataFrame:
+    """Rows (stream, block_index, bytes): equal blocks, the last one shorter; an empty stream has none."""
+    cut = streams.select("stream", F.posexplode(slices(F.col("content"), block_size)).alias("block_index", "bytes"))
+    return cut.withColumn("block_index", F.col("block_index").cast("long"))
 
 
 def per_block(blocks: DataFrame, fields: str, work: Callable[[list[bytes]], list[tuple]]) -> DataFrame:
@@ -83,9 +79,14 @@ def regroup(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iter
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def width(spark: SparkSession) -> int:
+    """Tasks over which blocks are spread: the shuffle width, or all cores."""
+    return max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+
+
 def deal(blocks: DataFrame) -> DataFrame:
-    """The blocks spread evenly by stream and index: coding costs far more than moving them, and streams differ in length."""
-    return blocks.repartition(max(shuffle_partitions(blocks.sparkSession), blocks.sparkSession.sparkContext.defaultParallelism), "stream", "block_index")
+    """The blocks spread evenly by stream and index: streams differ in length, and coding costs more than moving."""
+    return blocks.repartition(width(blocks.sparkSession), "stream", "block_index")
 
 
 # --- stages ---
@@ -93,7 +94,7 @@ def deal(blocks: DataFrame) -> DataFrame:
 
 def adler32(blocks: DataFrame) -> DataFrame:
     """Rows (stream, block_index, size, checksum)."""
-    return per_block(blocks, "size long, checksum long", lambda bs: [(len(b), zlib.adler32(b)) for b in bs])
+    return kernels.ready(blocks).select("stream", "block_index", F.length("bytes").cast("long").alias("size"), kernels.checksum("bytes").alias("checksum"))
 
 
 def byte_counts(blocks: DataFrame) -> DataFrame:
@@ -113,27 +114,22 @@ def rarest_bytes(counts: DataFrame, streams: DataFrame) -> DataFrame:
 
 def bwt(blocks: DataFrame) -> DataFrame:
     """Rows (stream, block_index, data, primary_index)."""
-    return per_block(blocks, "data binary, primary_index long", sorting.bwt_encode)
-
-
-def suffix_order(blocks: DataFrame) -> DataFrame:
-    """The same by relational means, for small blocks: a row a suffix, numbered in order. Rows (stream, block_index, pos, rank)."""
-    each = blocks.select("stream", "block_index", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - 1)).alias("pos"))
-    suffix = F.substring("bytes", F.col("pos") + 1, F.length("bytes"))
-    order = Window.partitionBy("stream", "block_index").orderBy(suffix)
-    return each.select("stream", "block_index", "pos", F.row_number().over(order).cast("long").alias("rank"))
+    return kernels.ready(blocks).select("stream", "block_index", kernels.sort("bytes").alias("s")).select("stream", "block_index", "s.data", "s.primary_index")
 
 
 def unbwt(columns: DataFrame) -> DataFrame:
     """Rows (stream, block_index, bytes) of rows (stream, block_index, data, primary_index)."""
+    return kernels.ready(columns).select("stream", "block_index", kernels.unsort("data", "primary_index").alias("bytes"))
+
+
+def suffix_order(blocks: DataFrame) -> DataFrame:
+    """Rows (stream, block_index, order): the places where a block's suffixes start, in the suffixes' order."""
+    return kernels.ready(blocks).select("stream", "block_index", kernels.order("bytes").alias("order"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            back = [sorting.bwt_decode(d, p) for d, p in zip(batch.column("data").to_pylist(), batch.column("primary_index").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("block_index"), pa.array(back, pa.binary())], ["stream", "block_index", "bytes"])
 
-    kind = columns.schema["stream"].dataType.simpleString()
-    return columns.select("stream", "block_index", "data", "primary_index").mapInArrow(run, f"stream {kind}, block_index long, bytes binary")
+def recency_ranks(blocks: DataFrame) -> DataFrame:
+    """Rows (stream, block_index, ranks): a byte a rank."""
+    return kernels.ready(blocks).select("stream", "block_index", kernels.ranks("bytes").alias("ranks"))
 
 
 def lf_mapping(blocks: DataFrame) -> DataFrame:
@@ -150,127 +146,164 @@ def lf_mapping(blocks: DataFrame) -> DataFrame:
     return per_block(blocks, "size long, checksum long", work)
 
 
-def roundtrip(blocks: DataFrame, stage: str) -> DataFrame:
-    """Rows (stream, block_index, coded_size, bytes): blocks coded and restored by one stage, or by all of them."""
-    return per_block(deal(blocks), "coded_size long, bytes binary", ROUNDTRIPS[stage])
+def _mtf_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("coded", kernels.ranks("bytes")).withColumn("back", kernels.unrank("coded"))
+
 
+def _bwt_back(df: DataFrame) -> DataFrame:
+    sorted_ = df.withColumn("s", kernels.sort("bytes")).withColumn("coded", F.col("s.data"))
+    return sorted_.withColumn("back", kernels.unsort("coded", "s.primary_index"))
 
-def _mtf(some: list[bytes]) -> list[tuple]:
-    return [(len(r), sorting.mtf_decode(r)) for r in map(sorting.mtf_encode, some)]
 
+def _rc_back(df: DataFrame) -> DataFrame:
+    coded = df.withColumn("s", kernels.sort("bytes")).withColumn("r", kernels.run_encode(kernels.ranks("s.data"), EXTENSIONS[0])).withColumn("coded", F.col("r.payload"))
+    return coded.withColumn("back", kernels.unsort(kernels.unrank(kernels.run_decode("coded", "r.symbols", F.length("bytes"))), "s.primary_index"))
 
-def _bwt(some: list[bytes]) -> list[tuple]:
-    return [(len(d), sorting.bwt_decode(d, p)) for d, p in sorting.bwt_encode(some)]
 
+def _cm_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("coded", kernels.mix_encode("bytes")).withColumn("back", kernels.mix_decode("coded", F.length("bytes")))
 
-def _rc(some: list[bytes]) -> list[tuple]:
-    columns = sorting.bwt_encode(some)
-    symbols = [entropy.run_symbols(sorting.mtf_encode(c), 2) for c, _ in columns]
-    out = []
-    for payload, s, (column, primary) in zip(entropy.rc_encode(symbols), symbols, columns, strict=True):
-        ranks = entropy.rc_decode(payload, len(s), len(column))
-        out.append((len(payload), sorting.bwt_decode(sorting.mtf_decode(ranks), primary)))
-    return out
 
+def _lzp_back(df: DataFrame) -> DataFrame:
+    bits = c.hash_bits(F.length("bytes"))
+    short = df.withColumn("short", kernels.collapse("bytes", bits)).withColumn("coded", F.coalesce("short", "bytes"))
+    return short.withColumn("back", F.when(F.col("short").isNull(), F.col("bytes")).otherwise(kernels.expand("short", F.length("bytes"), bits)["bytes"]))
 
-def _cm(some: list[bytes]) -> list[tuple]:
-    payloads = entropy.cm_encode(some)
-    return [(len(p), _sound(b)) for p, b in zip(payloads, entropy.cm_decode(payloads, [len(b) for b in some]), strict=True)]
+
+def _block_back(df: DataFrame) -> DataFrame:
+    return with_decoded(with_coded(df)).withColumn("coded", F.col("payload")).withColumn("back", F.col("found.bytes"))
+
+
+ROUNDTRIPS: dict[str, Callable[[DataFrame], DataFrame]] = {"mtf": _mtf_back, "bwt": _bwt_back, "rc": _rc_back, "cm": _cm_back, "lzp": _lzp_back, "block": _block_back}
+
+
+def roundtrip(blocks: DataFrame, stage: str) -> DataFrame:
+    """Rows (stream, block_index, coded_size, bytes): blocks coded and restored by one stage, or by all of them."""
+    done = ROUNDTRIPS[stage](kernels.ready(deal(blocks)))
+    return done.select("stream", "block_index", F.length("coded").cast("long").alias("coded_size"), F.col("back").alias("bytes"))
 
 
-def _lzp(some: list[bytes]) -> list[tuple]:
-    coded = [sorting.lzp_encode(b) for b in some]
-    return [(len(b), b) if c is None else (len(c), sorting.lzp_decode(c, len(b))) for b, c in zip(some, coded, strict=True)]
+#: Columns of a coded block.
+FIELDS = ("mode", "lzp", "original_size", "payload_size", "primary_index", "intermediate_size", "checksum", "payload")
 
 
-def _all(some: list[bytes]) -> list[tuple]:
-    coded = encode_blocks(some)
-    return [(c.payload_size, _sound(b)) for c, b in zip(coded, decode_blocks(coded), strict=True)]
+def with_candidates(df: DataFrame, give_up: bool = True) -> DataFrame:
+    """Rows with a column `bytes` get each coding: mixed, run-coded with either spelling, collapsed and mixed.
 
+    A coding is null where it would not be shorter than the block and all codings before it; without
+    give_up, only where there is nothing to collapse.
+    """
 
-def _sound(data: bytes | FormatError) -> bytes:
-    if isinstance(data, FormatError):
-        raise data
-    return data
+    def limit(*before: str) -> Column | int:
+        if not give_up:
+            return kernels.NO_LIMIT
+        sizes = [F.length("bytes"), *(F.length(b) for b in before)]
+        return (F.least(*sizes) if before else sizes[0]).cast("long")  # least() passes nulls over
 
+    out = kernels.ready(df).withColumn("s", kernels.sort("bytes")).withColumn("short", kernels.collapse("bytes", c.hash_bits(F.length("bytes"))))
+    out = out.withColumn("mixed", kernels.mix_encode("s.data", limit())).withColumn("ranks", kernels.ranks("s.data")).withColumn("short_s", kernels.sort("short"))
+    out = out.withColumn("run_0", kernels.run_encode("ranks", EXTENSIONS[0], limit("mixed")))
+    out = out.withColumn("run_1", kernels.run_encode("ranks", EXTENSIONS[1], limit("mixed", "run_0.payload")))
+    return out.withColumn("collapsed", kernels.mix_encode("short_s.data", limit("mixed", "run_0.payload", "run_1.payload")))
 
-ROUNDTRIPS = {"mtf": _mtf, "bwt": _bwt, "rc": _rc, "cm": _cm, "lzp": _lzp, "block": _all}
 
-_BLOCK_FIELDS = "mode long, lzp boolean, original_size long, payload_size long, primary_index long, intermediate_size long, checksum long, payload binary"
+_PAYLOADS = ("mixed", "run_0.payload", "run_1.payload", "collapsed")
 
 
-def _row(b: Block) -> tuple:
-    return b.mode, b.lzp, b.original_size, b.payload_size, b.primary_index, b.intermediate_size, b.checksum, b.payload
+def with_coded(df: DataFrame) -> DataFrame:
+    """Rows with a column `bytes` get FIELDS, the block's least coding."""
+    tried = with_candidates(df).withColumn("chosen", c.least_coding([F.length(p) for p in _PAYLOADS], F.length("bytes")))
+    pick = lambda raw, mixed, first, second, short: F.when(F.col("chosen") == 0, mixed).when(F.col("chosen") == 1, first).when(F.col("chosen") == 2, second).when(F.col("chosen") == 3, short).otherwise(raw)
+    zero, primary = F.lit(0).cast("long"), F.col("s.primary_index")
+    fields = [
+        pick(*(F.lit(m).cast("long") for m in (RAW, MIXED, RANKED, RANKED, MIXED))).alias("mode"),
+        (F.col("chosen") == 3).alias("lzp"),
+        F.length("bytes").cast("long").alias("original_size"),
+        pick(F.col("bytes"), *(F.col(p) for p in _PAYLOADS)).alias("payload"),
+        pick(zero, primary, primary, primary, F.col("short_s.primary_index")).alias("primary_index"),
+        pick(zero, zero, F.col("run_0.symbols"), F.col("run_1.symbols"), F.length("short").cast("long")).alias("intermediate_size"),
+        kernels.checksum("bytes").alias("checksum"),
+    ]
+    kept = [F.col(f"`{name}`") for name in df.columns if name not in FIELDS]
+    return tried.select(*kept, *fields).withColumn("payload_size", F.length("payload").cast("long"))
 
 
 def encode(blocks: DataFrame) -> DataFrame:
     """The blocks table: each block's least coding."""
-    return per_block(deal(blocks), _BLOCK_FIELDS, lambda bs: [_row(b) for b in encode_blocks(bs)])
+    return with_coded(deal(blocks)).select("stream", "block_index", *FIELDS)
 
 
 def candidate_sizes(blocks: DataFrame) -> DataFrame:
     """Rows (stream, block_index, original_size, mixed, ranked_2, ranked_3, collapsed): payload bytes of each coding."""
-    return per_block(deal(blocks), "original_size long, mixed long, ranked_2 long, ranked_3 long, collapsed long", lambda bs: [(len(b), *(x.payload_size for x in c), *([None] * (4 - len(c)))) for b, c in zip(bs, candidates(bs), strict=True)])
+    tried = with_candidates(deal(blocks), give_up=False)
+    sizes = [F.length(p).cast("long").alias(name) for p, name in zip(_PAYLOADS, ("mixed", "ranked_2", "ranked_3", "collapsed"), strict=True)]
+    return tried.select("stream", "block_index", F.length("bytes").cast("long").alias("original_size"), *sizes)
+
+
+def with_decoded(coded: DataFrame, version: Column | None = None) -> DataFrame:
+    """Rows with FIELDS get `found`, the struct (bytes, error): a malformed block has an error instead of bytes."""
+    f = {name: F.col(name) for name in FIELDS}
+    size = F.length("payload").cast("long")
+    error = c.header_error(F.lit(2) if version is None else version, f["mode"], f["lzp"], f["original_size"], size, f["primary_index"], f["intermediate_size"])
+    checked = kernels.ready(coded).withColumn("header_error", error)
+    back = kernels.restore(f["mode"], f["lzp"], f["original_size"], f["primary_index"], f["intermediate_size"], f["checksum"], f["payload"], c.hash_bits(f["original_size"]))
+    bad = F.struct(F.lit(None).cast("binary").alias("bytes"), F.col("header_error").alias("error"))
+    return checked.withColumn("found", F.when(F.col("header_error").isNotNull(), bad).otherwise(back))
 
 
-def decode(coded: DataFrame) -> DataFrame:
+def decode(coded: DataFrame, version: Column | None = None) -> DataFrame:
     """Rows (stream, block_index, bytes, error) of the blocks table: a malformed block has an error instead of bytes."""
-    fields = ["mode", "lzp", "original_size", "primary_index", "intermediate_size", "checksum", "payload"]
+    return with_decoded(coded, version).select("stream", "block_index", "found.bytes", "found.error")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks = [Block(*row) for row in zip(*(batch.column(f).to_pylist() for f in fields), strict=True)]
-            back = decode_blocks(blocks)
-            data = [None if isinstance(b, FormatError) else b for b in back]
-            errors = [str(b) if isinstance(b, FormatError) else None for b in back]
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("block_index"), pa.array(data, pa.binary()), pa.array(errors, pa.string())], ["stream", "block_index", "bytes", "error"])
 
-    kind = coded.schema["stream"].dataType.simpleString()
-    return coded.select("stream", "block_index", *fields).mapInArrow(run, f"stream {kind}, block_index long, bytes binary, error string")
+def in_order(key: str, value: str) -> Column:
+    """A binary column's values as one, in the order of another column, as an aggregate; nulls are left out."""
+    return kernels.join(F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(key, value)))), lambda p: p[value]))
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:
     """Rows (stream, content): the blocks of each stream in order."""
-    parts = F.array_sort(F.collect_list(F.struct("block_index", F.hex("bytes").alias("h"))))
-    return blocks.groupBy("stream").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")).alias("content"))
-
+    return kernels.ready(blocks).groupBy("stream").agg(in_order("block_index", "bytes").alias("content"))
 
-def run_islands(df: DataFrame) -> DataFrame:
-    """Rows (stream, start, length, byte) of rows (stream, pos, byte): maximal runs, by gaps and islands."""
-    along = Window.partitionBy("stream", "byte").orderBy("pos")
-    island = df.withColumn("island", F.col("pos") - F.row_number().over(along))
-    return island.groupBy("stream", "byte", "island").agg(F.min("pos").alias("start"), F.count("*").alias("length")).drop("island")
 
+def run_islands(blocks: DataFrame, block_size: int) -> DataFrame:
+    """Rows (stream, start, length, byte) of blocks of one size: the maximal runs of each stream.
 
-def bytes_of(streams: DataFrame) -> DataFrame:
-    """Rows (stream, pos, byte): each byte a row, exploded in Arrow batches."""
+    Runs inside a block are found at once; only those that touch an edge of their block, two at most, are
+    put together with their neighbours', by gaps and islands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, content in enumerate(batch.column("content")):
-                data = np.frombuffer(content.as_buffer() or b"", np.uint8)
-                for at in range(0, len(data), 1 << 18):
-                    part = data[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array(np.full(len(part), i))), pa.array(np.arange(at, at + len(part))), pa.array(part.astype(np.int64))], ["stream", "pos", "byte"])
-
-    kind = streams.schema["stream"].dataType.simpleString()
-    return streams.mapInArrow(run, f"stream {kind}, pos long, byte long")
+        for batch in regroup(batches):
+            found = []
+            for i, (number, block) in enumerate(zip(batch.column("block_index").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
+                data = np.frombuffer(block or b"", np.uint8)
+                if len(data):
+                    at = np.flatnonzero(np.r_[True, data[1:] != data[:-1]])
+                    edge = np.zeros(len(at), bool)
+                    edge[[0, -1]] = True
+                    found.append((np.full(len(at), i), at + number * block_size, np.diff(np.r_[at, len(data)]), data[at].astype(np.int64), edge))
+            if found:
+                owner, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array(owner)), *map(pa.array, columns)], ["stream", "start", "length", "byte", "edge"])
 
+    kind = blocks.schema["stream"].dataType.simpleString()
+    runs = blocks.select("stream", "block_index", "bytes").mapInArrow(run, f"stream {kind}, start long, length long, byte long, edge boolean")
+    along = Window.partitionBy("stream").orderBy("start")
+    follows = (F.lag("byte").over(along) == F.col("byte")) & (F.lag("start").over(along) + F.lag("length").over(along) == F.col("start"))
+    edges = runs.where("edge").withColumn("new", F.when(follows, 0).otherwise(1))
+    islands = edges.withColumn("island", F.sum("new").over(along)).groupBy("stream", "island").agg(F.min("start").alias("start"), F.sum("length").alias("length"), F.first("byte").alias("byte"))
+    columns = ["stream", "start", "length", "byte"]
+    return runs.where("NOT edge").select(*columns).union(islands.select(*columns))
 
-def recency_ranks(each: DataFrame) -> DataFrame:
-    """Rows (stream, pos, rank) of rows (stream, pos, byte), by joins: for short streams.
 
-    A repeated byte's rank is the number of different bytes since it was last met; a new byte's rank is its
-    value plus the number of greater bytes met before.
-    """
-    last = Window.partitionBy("stream", "byte").orderBy("pos")
-    seen = each.withColumn("before", F.lag("pos").over(last)).withColumn("after", F.lead("pos").over(last))
-    other = seen.select(F.col("stream").alias("s"), F.col("pos").alias("p"), F.col("byte").alias("b"), F.col("after").alias("a"))
-    # bytes standing where they were last met before `pos`
-    current = (F.col("p") < F.col("pos")) & (F.col("a").isNull() | (F.col("a") >= F.col("pos")))
-    closer = F.when(F.col("before").isNotNull(), F.col("p") > F.col("before")).otherwise(F.col("b") > F.col("byte"))
-    counted = seen.join(other, (F.col("stream") == F.col("s")) & current & closer, "left").groupBy("stream", "pos", "byte", "before").agg(F.count("p").alias("n"))
-    return counted.select("stream", "pos", F.when(F.col("before").isNotNull(), F.col("n")).otherwise(F.col("byte") + F.col("n")).cast("long").alias("rank"))
+def slots(data: bytes, bits: int) -> np.ndarray:
+    """The hash slot of the bytes before each position from CONTEXT on."""
+    if len(data) <= CONTEXT:
+        return np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), CONTEXT)[:-1]
+    contexts = np.ascontiguousarray(windows).view(">u8").ravel().astype(np.uint64)
+    return (contexts * np.uint64(SLOT_FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def slot_predictions(streams: DataFrame, bits: int = 20) -> DataFrame:
@@ -279,37 +312,57 @@ def slot_predictions(streams: DataFrame, bits: int = 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, content in enumerate(batch.column("content").to_pylist()):
-                slot = sorting.slots(content, bits)
-                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array(np.full(len(slot), i))), pa.array(np.arange(sorting.CONTEXT, sorting.CONTEXT + len(slot))), pa.array(slot)], ["stream", "pos", "slot"])
+                slot = slots(content, bits)
+                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array(np.full(len(slot), i))), pa.array(np.arange(CONTEXT, CONTEXT + len(slot))), pa.array(slot)], ["stream", "pos", "slot"])
 
     kind = streams.schema["stream"].dataType.simpleString()
     hashed = streams.mapInArrow(run, f"stream {kind}, pos long, slot long")
     return hashed.withColumn("predicted", F.lag("pos").over(Window.partitionBy("stream", "slot").orderBy("pos")))
 
 
-def collapse_streams(streams: DataFrame) -> DataFrame:
-    """Rows (stream, size, collapsed_size, bytes): each stream collapsed as a whole, and restored."""
+def long_matches(streams: DataFrame, bits: int = 20, least: int = 128) -> DataFrame:
+    """Rows (stream, pos, source): places whose next `least` bytes equal those at the place their slot predicts."""
+
+    def found(data: bytes) -> list[tuple[int, int]]:
+        slot = slots(data, bits)
+        order = np.argsort(slot, kind="stable")
+        again = np.flatnonzero(slot[order][1:] == slot[order][:-1])
+        at, source = order[again + 1] + CONTEXT, order[again] + CONTEXT
+        inside = at + least <= len(data)
+        at, source = at[inside], source[inside]
+        eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)).view(np.uint64).ravel() if len(at) else at
+        likely = (eight[at] == eight[source]) & (eight[at + least - 8] == eight[source + least - 8]) if len(at) else np.zeros(0, bool)
+        return sorted((a, b) for a, b in zip(at[likely].tolist(), source[likely].tolist(), strict=True) if data[a : a + least] == data[b : b + least])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for content in batch.column("content").to_pylist():
-                bits = container.hash_bits(len(content))
-                coded = sorting.lzp_encode(content, bits)
-                rows.append((len(content), len(content) if coded is None else len(coded), content if coded is None else sorting.lzp_decode(coded, len(content), bits)))
-            a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["stream", "size", "collapsed_size", "bytes"])
+            for i, content in enumerate(batch.column("content").to_pylist()):
+                rows = found(content)
+                at, source = zip(*rows, strict=True) if rows else ((), ())
+                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array([i] * len(rows), pa.int64())), pa.array(at, pa.int64()), pa.array(source, pa.int64())], ["stream", "pos", "source"])
 
     kind = streams.schema["stream"].dataType.simpleString()
-    return streams.mapInArrow(run, f"stream {kind}, size long, collapsed_size long, bytes binary")
+    return streams.select("stream", "content").mapInArrow(run, f"stream {kind}, pos long, source long")
+
+
+def collapse_streams(streams: DataFrame) -> DataFrame:
+    """Rows (stream, size, collapsed_size, bytes): each stream collapsed as a whole, and restored."""
+    done = _lzp_back(kernels.ready(streams).withColumnRenamed("content", "bytes"))
+    return done.select("stream", F.length("bytes").cast("long").alias("size"), F.length("coded").cast("long").alias("collapsed_size"), F.col("back").alias("bytes"))
 
 
 def compare_codecs(blocks: DataFrame) -> DataFrame:
     """Rows (stream, block_index, size, own, gzip, bzip2, xz): bytes by this coder and by common ones."""
     import bz2
     import lzma
+    import zlib
 
-    def work(some: list[bytes]) -> list[tuple]:
-        return [(len(b), c.payload_size, len(zlib.compress(b, 9)), len(bz2.compress(b, 9)), len(lzma.compress(b, preset=9))) for b, c in zip(some, encode_blocks(some), strict=True)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in regroup(batches):
+            data = [b or b"" for b in batch.column("bytes").to_pylist()]
+            sizes = [[len(b) for b in data], batch.column("payload_size").to_pylist(), *([len(pack(b)) for b in data] for pack in (lambda b: zlib.compress(b, 9), lambda b: bz2.compress(b, 9), lambda b: lzma.compress(b, preset=9)))]
+            yield pa.RecordBatch.from_arrays([batch.column("stream"), batch.column("block_index"), *(pa.array(s, pa.int64()) for s in sizes)], ["stream", "block_index", "size", "own", "gzip", "bzip2", "xz"])
 
-    return per_block(deal(blocks), "size long, own long, gzip long, bzip2 long, xz long", work)
+    kind = blocks.schema["stream"].dataType.simpleString()
+    coded = with_coded(deal(blocks)).select("stream", "block_index", "bytes", "payload_size")
+    return coded.mapInArrow(run, f"stream {kind}, block_index long, size long, own long, gzip long, bzip2 long, xz long")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 import time
-import zlib
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
@@ -12,23 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import kernels
 from ..codec import FormatError, container, tree
-from ..codec.blocks import Block
-from ..codec.sorting import lzp_decode, lzp_encode
+from ..functions import columns as c
 from ..operators import stages
 
-BLOCK_FIELDS = ("mode", "lzp", "original_size", "primary_index", "intermediate_size", "checksum", "payload")
-
 
 @contextmanager
-def replaced(target: str) -> Iterator[str]:
-    """A sibling path to write to; it takes the target's place at the end, or goes if anything fails."""
-    if os.path.lexists(target) and not os.path.isfile(target):
-        raise ValueError(f"{target} is not a regular file")
-    staging = f"{target}.tmp.{os.getpid()}"
+def replaced(target: str, directory: bool = False) -> Iterator[str]:
+    """A sibling path to write to; it takes the target's place at the end, or goes if anything fails. A folder is put in place by itself."""
+    if os.path.lexists(target) and (directory or not os.path.isfile(target)):
+        raise ValueError(f"{target} exists" if directory else f"{target} is not a regular file")
+    staging = f"{target}.tmp.{uuid.uuid4().hex}"
     try:
         yield staging
-        os.replace(staging, target)
+        if not directory:
+            os.replace(staging, target)
     except BaseException:
         with suppress(FileNotFoundError):
             os.remove(staging)
@@ -40,60 +41,116 @@ def refuse_same(source: str, target: str) -> None:
         raise ValueError("input and output are the same")
 
 
-def _coded(spark: SparkSession, data: bytes, block_size: int) -> DataFrame:
-    """The blocks table of a byte stream, its blocks coded in parallel."""
-    parts = [(0, i, bytearray(b)) for i, b in enumerate(container.split(data, block_size))]
-    width = max(1, min(len(parts), spark.sparkContext.defaultParallelism))
-    blocks = spark.createDataFrame(parts, "stream long, block_index long, bytes binary").repartitionByRange(width, "block_index")
-    return stages.encode(blocks)
+# --- files ---
+
+
+def _stored(source: str, staging: str) -> tuple[str, int, bool]:
+    """(path, size, whether it is a folder) of what is to be coded; a folder's tar stream is written to `staging`."""
+    if not os.path.isdir(source):
+        return source, os.path.getsize(source), False
+    tree.write_tree(source, staging)
+    return staging, os.path.getsize(staging), True
+
+
+def _file_blocks(spark: SparkSession, path: str, size: int, block_size: int) -> DataFrame:
+    """The blocks of a file that all machines see, each read by the task that codes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as file:
+            for batch in batches:
+                for number in batch.column("block_index").to_pylist():
+                    file.seek(number * block_size)
+                    part = file.read(block_size)
+                    if len(part) != min(block_size, size - number * block_size):
+                        raise OSError("input changed while it was read")
+                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([number], pa.int64()), pa.array([part], pa.binary())], ["stream", "block_index", "bytes"])
 
+    count = container.block_count(size, block_size)
+    numbers = spark.range(0, count, 1, max(1, count)).withColumnRenamed("id", "block_index")
+    return numbers.mapInArrow(run, "stream long, block_index long, bytes binary")
 
-def _blocks(coded: DataFrame) -> list[Block]:
-    """Coded blocks in order; for single-file containers, which one writer puts down."""
-    return [Block(*(bytes(r[f]) if f == "payload" else r[f] for f in BLOCK_FIELDS)) for r in coded.orderBy("block_index").toLocalIterator()]
 
+def _collapsed(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """One row (short, checksum) of a file of STREAM_MOST bytes at most, in one task; short is null where nothing is gained."""
+    whole = kernels.ready(_file_blocks(spark, path, size, max(1, size)))
+    return whole.select(kernels.collapse("bytes", container.slot_bits(size)).alias("short"), kernels.checksum("bytes").alias("checksum"))
 
-def compress_bytes(spark: SparkSession, data: bytes, block_size: int | None = None, profile: str = "default", directory: bool = False) -> container.Archive:
-    """As container.compress, with blocks coded by Spark tasks; the bytes don't depend on how many."""
-    size = container.choose_block_size(len(data), block_size, profile)
-    if len(data) <= size:
-        return container.compress(data, block_size, profile, directory)
-    stream, chosen = None, None
-    if len(data) <= container.STREAM_MOST:
-        bits = container.hash_bits(len(data))
-        collapsed = lzp_encode(data, bits)
-        if collapsed is not None:
-            passed = _blocks(_coded(spark, collapsed, size))
-            decisive = len(collapsed) < len(data) - len(data) // 10
-            chosen = None if decisive else _blocks(_coded(spark, data, size))
-            if decisive or container.keep_stream_pass(len(data), len(collapsed), container.encoded_size(passed), container.encoded_size(chosen)):
-                stream, chosen = container.StreamHeader(len(collapsed), zlib.adler32(data), bits), passed
-    if chosen is None:
-        chosen = _blocks(_coded(spark, data, size))
-    return container.Archive(container.VERSION, directory, size, len(data), stream, chosen)
+
+def _coded_part(blocks: DataFrame, path: str) -> int:
+    """Writes coded blocks with their headers, in order, to a part file; returns its bytes. One task's blocks at a time are at hand."""
+    coded = stages.with_coded(blocks).select("block_index", *stages.FIELDS)
+    with open(path, "wb") as out:
+        for row in coded.toLocalIterator(prefetchPartitions=True):  # partitions are in the order of blocks
+            out.write(container.pack_block_header(row.mode, row.lzp, row.original_size, row.payload_size, row.primary_index, row.intermediate_size, row.checksum))
+            out.write(row.payload)
+    return os.path.getsize(path)
 
 
 def compress_file(spark: SparkSession, source: str, target: str, block_size: int | None = None, profile: str = "default") -> dict:
-    """Writes the archive of a file or a folder; returns its statistics."""
+    """Writes the archive of a file or a folder; returns its statistics.
+
+    Tasks read the blocks they code; the driver has a few coded blocks at a time, on their way to the target.
+    The stream-wide pass is one task's work, for inputs of STREAM_MOST bytes at most.
+    """
     began = time.time()
     if not os.path.exists(source):
         raise FileNotFoundError(source)
     refuse_same(source, target)
-    directory = os.path.isdir(source)
-    if directory:
-        data = tree.write(tree.read_tree(source))
-    else:
-        size = os.path.getsize(source)
-        with open(source, "rb") as file:
-            data = file.read()
-        if len(data) != size:
+    with replaced(target) as staging, tempfile.TemporaryDirectory(prefix=f"{os.path.basename(target)}.tmp.", dir=os.path.dirname(os.path.abspath(target))) as folder:
+        path, size, directory = _stored(source, os.path.join(folder, "tree"))
+        block = container.choose_block_size(size, block_size, profile)
+        plain, passed, stream = (os.path.join(folder, name) for name in ("plain", "passed", "stream"))
+        kept, decisive, header = False, False, None
+        if block < size <= container.STREAM_MOST:
+            row = _collapsed(spark, path, size).first()
+            if row.short is not None:
+                with open(stream, "wb") as out:
+                    out.write(row.short)
+                short = len(row.short)
+                header = container.StreamHeader(short, row.checksum, container.slot_bits(size))
+                del row
+                with_pass = _coded_part(_file_blocks(spark, stream, short, block), passed)
+                sizes = spark.range(1).select(*(F.lit(x).alias(n) for n, x in (("n", size), ("short", short), ("a", with_pass))))
+                decisive = kept = sizes.select(c.stream_pass_decisive(F.col("n"), F.col("short"))).first()[0]
+        if not decisive:
+            without = _coded_part(_file_blocks(spark, path, size, block), plain)
+            if header:
+                kept = sizes.select(c.stream_pass_kept(F.col("n"), F.col("short"), F.col("a"), F.lit(without))).first()[0]
+        if os.path.getsize(path) != size:
             raise OSError("input changed while it was read")
-    archive = compress_bytes(spark, data, block_size, profile, directory)
-    packed = container.pack(archive)
-    with replaced(target) as staging, open(staging, "wb") as file:
-        file.write(packed)
-    raw = sum(b.mode == 0 for b in archive.blocks)
-    return statistics(len(data), len(packed), len(archive.blocks), raw, time.time() - began)
+        count = container.block_count(header.coded_size if kept else size, block)
+        with open(staging, "wb") as out, open(passed if kept else plain, "rb") as body:
+            out.write(container.pack_file_header(block, size, count, directory, header if kept else None))
+            shutil.copyfileobj(body, out, 1 << 20)
+        with open(staging, "rb") as file:
+            heads = _index(file).heads
+        written = os.path.getsize(staging)
+    return statistics(size, written, count, sum(h.mode == 0 for h in heads), time.time() - began)
+
+
+def _index(file) -> container.Index:
+    def read(place: int, n: int) -> bytes:
+        file.seek(place)
+        return file.read(n)
+
+    return container.index(read, os.fstat(file.fileno()).st_size)
+
+
+def _payloads(spark: SparkSession, path: str, index: container.Index) -> DataFrame:
+    """The blocks table of an archive that all machines see; each payload is read by the task that decodes it."""
+    names = ["mode", "lzp", "original_size", "payload_size", "primary_index", "intermediate_size", "checksum", "place"]
+    heads = [(0, i, *(getattr(h, n) for n in names)) for i, h in enumerate(index.heads)]
+    schema = "stream long, block_index long, mode long, lzp boolean, original_size long, payload_size long, primary_index long, intermediate_size long, checksum long, place long"
+    rows = spark.createDataFrame(heads, schema).repartitionByRange(max(1, len(heads)), "block_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "rb") as file:
+            for batch in batches:
+                for i, (place, size) in enumerate(zip(batch.column("place").to_pylist(), batch.column("payload_size").to_pylist(), strict=True)):
+                    file.seek(place)
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:-1], pa.array([file.read(size)], pa.binary())], [*batch.schema.names[:-1], "payload"])
+
+    return rows.mapInArrow(run, schema.replace("place long", "payload binary"))
 
 
 def decompress_file(spark: SparkSession, source: str, target: str) -> dict:
@@ -101,31 +158,30 @@ def decompress_file(spark: SparkSession, source: str, target: str) -> dict:
     began = time.time()
     refuse_same(source, target)
     with open(source, "rb") as file:
-        packed = file.read()
-    archive = container.parse(packed)
-    if archive.blocks:
-        rows = [(0, i, *(bytearray(b.payload) if f == "payload" else getattr(b, f) for f in BLOCK_FIELDS)) for i, b in enumerate(archive.blocks)]
-        schema = "stream long, block_index long, mode long, lzp boolean, original_size long, primary_index long, intermediate_size long, checksum long, payload binary"
-        width = max(1, min(len(rows), spark.sparkContext.defaultParallelism))
-        parts = []
-        for row in stages.decode(spark.createDataFrame(rows, schema).repartitionByRange(width, "block_index")).orderBy("block_index").toLocalIterator():
-            if row.error is not None:
-                raise FormatError(row.error)
-            parts.append(bytes(row.bytes))
-        data = b"".join(parts)
-    else:
-        data = b""
-    if archive.stream:
-        data = lzp_decode(data, archive.original_size, archive.stream.hash_bits)
-        if zlib.adler32(data) != archive.stream.checksum:
-            raise FormatError("stream checksum mismatch")
-    if archive.directory:
-        tree.extract(data, target)
-    else:
-        with replaced(target) as staging, open(staging, "wb") as file:
-            file.write(data)
-    raw = sum(b.mode == 0 for b in archive.blocks)
-    return statistics(len(packed), len(data), len(archive.blocks), raw, time.time() - began)
+        index = _index(file)
+    with replaced(target, index.directory) as staging, tempfile.TemporaryDirectory(prefix=f"{os.path.basename(target)}.tmp.", dir=os.path.dirname(os.path.abspath(target))) as folder:
+        data = os.path.join(folder, "stream") if index.directory or index.stream else staging
+        with open(data, "wb") as out:
+            if index.heads:
+                for row in stages.decode(_payloads(spark, source, index), F.lit(index.version)).toLocalIterator(prefetchPartitions=True):
+                    if row.error is not None:
+                        raise FormatError(row.error)
+                    out.write(row.bytes)
+        if index.stream:
+            whole = kernels.ready(_file_blocks(spark, data, index.stream.coded_size, max(1, index.stream.coded_size)))
+            found = whole.select(kernels.expand("bytes", index.original_size, index.stream.hash_bits).alias("f")).select("f.*", kernels.checksum("f.bytes").alias("checksum")).first()
+            if found.error is not None or found.checksum != index.stream.checksum:
+                raise FormatError(found.error or "stream checksum mismatch")
+            data = os.path.join(folder, "restored") if index.directory else staging
+            with open(data, "wb") as out:
+                out.write(found.bytes)
+            del found
+        if os.path.getsize(data) != index.original_size:
+            raise FormatError("archive restores another size")
+        if index.directory:
+            tree.extract_file(data, target)
+    raw = sum(h.mode == 0 for h in index.heads)
+    return statistics(os.path.getsize(source), index.original_size, len(index.heads), raw, time.time() - began)
 
 
 def statistics(read: int, written: int, blocks: int, raw: int, seconds: float) -> dict:
@@ -137,38 +193,77 @@ def statistics(read: int, written: int, blocks: int, raw: int, seconds: float) -
 
 
 def archives(streams: DataFrame, block_size: int | None = None, profile: str = "default") -> DataFrame:
-    """Rows (stream, archive): each stream's container bytes, stream pass included; a stream is one task's work."""
+    """Rows (stream, archive): each stream's container bytes, stream pass included.
+
+    Streams are told apart by their keys. Blocks are coded wherever there is room; a stream's coded blocks meet
+    in one task, as its archive is one value.
+    """
+    if block_size is not None:
+        container.choose_block_size(0, block_size)
+    n = F.length("content").cast("long")
+    sized = kernels.ready(streams).withColumn("n", n).withColumn("size", F.lit(block_size).cast("long") if block_size else c.block_size(n, profile)).withColumn("bits", c.hash_bits(n))
+    short = F.when((F.col("size") < F.col("n")) & (F.col("n") <= container.STREAM_MOST), kernels.collapse("content", F.col("bits")))
+    passed = sized.withColumn("short", short).withColumn("m", F.length("short").cast("long")).withColumn("sum", F.when(F.col("short").isNotNull(), kernels.checksum("content")))
+    tried = F.coalesce(~c.stream_pass_decisive(F.col("n"), F.col("m")), F.lit(True))
+    ways = F.array(F.struct(F.lit(False).alias("passed"), F.when(tried, F.col("content")).alias("bytes")), F.struct(F.lit(True).alias("passed"), F.col("short").alias("bytes")))
+    each = passed.select("stream", "n", "size", "bits", "m", "sum", F.explode(F.filter(ways, lambda w: w["bytes"].isNotNull())).alias("way"))
+    keys = ["stream", "n", "size", "bits", "m", "sum", "passed"]
+    blocks = each.withColumn("passed", F.col("way.passed")).select(*keys, F.posexplode_outer(stages.slices(F.col("way.bytes"), F.col("size"))).alias("block_index", "bytes"))
+    coded = stages.with_coded(blocks.repartition(stages.width(streams.sparkSession), "stream", "passed", "block_index"))
+    header = F.unhex(c.block_header_hex(*(F.col(f) for f in ("mode", "lzp", "original_size", "payload_size", "primary_index", "intermediate_size", "checksum"))))
+    packed = coded.withColumn("packed", F.when(F.col("payload").isNotNull(), F.concat(header, "payload")))
+    whole = packed.groupBy(*keys).agg(F.count("packed").alias("blocks"), stages.in_order("block_index", "packed").alias("body"))
+    both = whole.groupBy("stream", "n", "size", "bits", "m", "sum").agg(*(F.max(F.when(F.col("passed") == way, F.struct("blocks", "body"))).alias(name) for way, name in ((False, "plain"), (True, "pass"))))
+    kept = F.col("pass").isNotNull() & (F.col("plain").isNull() | c.stream_pass_kept(F.col("n"), F.col("m"), F.length("pass.body"), F.length("plain.body")))
+    chosen = both.withColumn("kept", kept).withColumn("one", F.when(F.col("kept"), F.col("pass")).otherwise(F.col("plain")))
+    head = c.file_header_hex(F.col("size"), F.col("n"), F.col("one.blocks"), F.lit(False), F.col("kept"), F.col("m"), F.col("sum"), F.col("bits"))
+    return chosen.select("stream", F.concat(F.unhex(head), "one.body").alias("archive"))
+
+
+_INDEXED = "error string, original_size_ long, coded_size long, stream_checksum long, bits long, version long, block_index long, mode long, lzp boolean, original_size long, payload_size long, primary_index long, intermediate_size long, checksum long, payload binary"
+
+
+def indexed(packed: DataFrame) -> DataFrame:
+    """A row for each block of archives (stream, archive), one for an archive without blocks, and one with an error for what is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _INDEXED.split(", ")]
+        kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
         for batch in batches:
-            packed = [container.pack(a) for a in container.compress_all([c or b"" for c in batch.column("content").to_pylist()], block_size, profile)]
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(packed, pa.binary())], ["stream", "archive"])
-
-    kind = streams.schema["stream"].dataType.simpleString()
-    return streams.mapInArrow(run, f"stream {kind}, archive binary")
-
-
-def restored(packed: DataFrame) -> DataFrame:
-    """Rows (stream, content, error) of rows (stream, archive): a malformed archive has an error instead of content."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parsed = [_parsed(raw or b"") for raw in batch.column("archive").to_pylist()]
-            sound = iter(container.restore_all([a for a in parsed if not isinstance(a, FormatError)]))
-            found = [a if isinstance(a, FormatError) else next(sound) for a in parsed]
-            contents = [None if isinstance(f, FormatError) else f for f in found]
-            errors = [str(f) if isinstance(f, FormatError) else None for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("stream"), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], ["stream", "content", "error"])
+            for i, raw in enumerate(batch.column("archive").to_pylist()):
+                raw = raw or b""
+                try:
+                    found = container.parse(raw)
+                    s = found.stream
+                    shared = (None, found.original_size, s and s.coded_size, s and s.checksum, s and s.hash_bits, found.version)
+                    rows = [(*shared, k, h.mode, h.lzp, h.original_size, h.payload_size, h.primary_index, h.intermediate_size, h.checksum, raw[h.place : h.place + h.payload_size]) for k, h in enumerate(found.heads)]
+                    rows = rows or [(*shared, *([None] * 9))]
+                except FormatError as error:
+                    rows = [(str(error), *([None] * 14))]
+                columns = [pa.array(list(v), kinds[f.split()[1]]) for v, f in zip(zip(*rows, strict=True), _INDEXED.split(", "), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("stream").take(pa.array([i] * len(rows))), *columns], ["stream", *names])
 
     kind = packed.schema["stream"].dataType.simpleString()
-    return packed.mapInArrow(run, f"stream {kind}, content binary, error string")
+    return packed.select("stream", "archive").mapInArrow(run, f"stream {kind}, {_INDEXED}")
 
 
-def _parsed(raw: bytes) -> container.Archive | FormatError:
-    try:
-        return container.parse(raw)
-    except FormatError as error:
-        return error
+def restored(packed: DataFrame) -> DataFrame:
+    """Rows (stream, content, error) of rows (stream, archive): a malformed archive has an error instead of content.
+
+    Streams are told apart by their keys.
+    """
+    rows = stages.with_decoded(indexed(packed).withColumnRenamed("error", "framing"), F.col("version"))
+    error = F.coalesce("framing", "found.error")
+    first = F.min(F.when(error.isNotNull(), F.struct(F.coalesce("block_index", F.lit(-1)).alias("at"), error.alias("error"))))["error"]
+    shared = [F.max(x).alias(x) for x in ("original_size_", "coded_size", "stream_checksum", "bits")]
+    whole = rows.withColumn("part", F.col("found.bytes")).groupBy("stream").agg(first.alias("error"), *shared, F.collect_list(F.when(F.col("part").isNotNull(), F.struct("block_index", "part"))).alias("parts"))
+    joined = whole.withColumn("joined", kernels.join(F.transform(F.array_sort("parts"), lambda p: p["part"])))
+    streamed = joined.withColumn("expanded", F.when(F.col("error").isNull() & F.col("bits").isNotNull(), kernels.expand("joined", F.col("original_size_"), F.col("bits"))))
+    content = F.when(F.col("bits").isNull(), F.col("joined")).otherwise(F.col("expanded.bytes"))
+    done = streamed.withColumn("content", content)
+    late = F.when(F.col("expanded.error").isNotNull(), F.col("expanded.error")).when(F.col("bits").isNotNull() & (kernels.checksum("content") != F.col("stream_checksum")), "stream checksum mismatch").when(F.length("content") != F.col("original_size_"), "archive restores another size")
+    judged = done.withColumn("error", F.coalesce("error", late))
+    return judged.select("stream", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
 
 
 def verify(packed: DataFrame) -> DataFrame:

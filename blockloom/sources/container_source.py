@@ -1,15 +1,18 @@
 """The byte container as a Spark data source, `blockarchive`: block rows out of archives, and archives out of block rows.
 
-Reading: the driver walks headers only; each task takes a range of blocks and seeks to its payloads.
-Filters on block_index are pushed down, so that a range of blocks can be read alone. Writing: tasks put
-their blocks into parts beside the target; the commit joins them in order and renames the result.
-Paths are local or on a file system mounted alike on all machines.
+Reading: the driver walks headers only, and checks them; each task takes blocks of some bytes (option
+partitionBytes) and seeks to their payloads. Filters on block_index are pushed down, so that a range of
+blocks can be read alone. An archive with the stream pass holds blocks of a collapsed stream, which is
+refused unless the option `collapsed` asks for them. Writing: tasks put their blocks into parts beside the
+target; the commit joins them in order, a piece at a time, and renames the result. Options `directory`, and
+`stream` (collapsed size, checksum, slot bits) with `originalSize`, go into the header. Paths are local or on
+a file system mounted alike on all machines.
 """
 
 from __future__ import annotations
 
 import os
-import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,20 +20,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..codec import FormatError, container
-from ..codec.blocks import Block
 
 SCHEMA = "block_index long, mode long, lzp boolean, original_size long, payload_size long, primary_index long, intermediate_size long, checksum long, payload binary"
 
 
 @dataclass
 class _Range(InputPartition):
-    first: int
-    places: list
+    heads: list
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, width: int) -> None:
-        self.path, self.width, self.least, self.most = path, width, 0, None
+    def __init__(self, path: str, bytes_: int, collapsed: bool) -> None:
+        self.path, self.bytes, self.collapsed, self.least, self.most = path, bytes_, collapsed, 0, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -44,31 +45,30 @@ class _Reader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        places, size = [], os.path.getsize(self.path)
         with open(self.path, "rb") as file:
-            head = file.read(40)
-            if len(head) < 24 or head[:4] != container.MAGIC:
-                raise FormatError("not an archive")
-            place = 24 + 16 * bool(head[5] & container.STREAM_LZP)
-            for _ in range(struct.unpack_from("<I", head, 20)[0]):
+
+            def read(place: int, n: int) -> bytes:
                 file.seek(place)
-                raw = file.read(container.HEADER_BYTES)
-                if len(raw) < container.HEADER_BYTES:
-                    raise FormatError("truncated block header")
-                places.append(place)
-                place += container.HEADER_BYTES + struct.unpack_from("<I", raw, 8)[0]
-        if place != size:
-            raise FormatError("archive has another length than its headers say")
-        stop = len(places) if self.most is None else min(len(places), self.most + 1)
-        step = max(1, -(-(stop - self.least) // self.width)) if stop > self.least else 1
-        return [_Range(i, places[i : min(i + step, stop)]) for i in range(self.least, stop, step)] or [_Range(0, [])]
+                return file.read(n)
+
+            index = container.index(read, os.path.getsize(self.path))
+        if index.stream and not self.collapsed:
+            raise FormatError("blocks of this archive join to a collapsed stream; read it whole, or with the option collapsed")
+        heads = index.heads if self.most is None else index.heads[: self.most + 1]
+        out, held, size = [], [], 0
+        for number in range(self.least, len(heads)):
+            held.append((number, heads[number]))
+            size += heads[number].payload_size
+            if size >= self.bytes:
+                out.append(_Range(held))
+                held, size = [], 0
+        return [*out, _Range(held)] if held or not out else out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         with open(self.path, "rb") as file:
-            for index, place in enumerate(partition.places, partition.first):
-                file.seek(place)
-                mode, flag, _, size, payload, primary, middle, checksum = struct.unpack("<BBHIIIII", file.read(container.HEADER_BYTES))
-                yield index, mode, bool(flag), size, payload, primary, middle, checksum, file.read(payload)
+            for number, h in partition.heads:
+                file.seek(h.place)
+                yield number, h.mode, h.lzp, h.original_size, h.payload_size, h.primary_index, h.intermediate_size, h.checksum, file.read(h.payload_size)
 
 
 @dataclass
@@ -78,8 +78,8 @@ class _Part(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, block_size: int, overwrite: bool) -> None:
-        self.path, self.block_size, self.overwrite = path, block_size, overwrite
+    def __init__(self, path: str, block_size: int, directory: bool, original_size: int, stream: container.StreamHeader | None) -> None:
+        self.path, self.block_size, self.directory, self.original_size, self.stream = path, block_size, directory, original_size, stream
 
     def write(self, rows: Iterator) -> _Part:
         from pyspark import TaskContext
@@ -88,9 +88,9 @@ class _Writer(DataSourceWriter):
         path, found = f"{self.path}.part.{context.partitionId()}.{context.taskAttemptId()}", []
         with open(path, "wb") as file:
             for r in rows:
-                block = Block(r.mode, r.lzp, r.original_size, r.primary_index, r.intermediate_size, r.checksum, bytes(r.payload))
-                found.append((r.block_index, file.tell(), container.HEADER_BYTES + block.payload_size, block.original_size))
-                file.write(container.pack_block_header(block) + block.payload)
+                payload = bytes(r.payload)
+                found.append((r.block_index, file.tell(), container.HEADER_BYTES + len(payload), r.original_size))
+                file.write(container.pack_block_header(r.mode, r.lzp, r.original_size, len(payload), r.primary_index, r.intermediate_size, r.checksum) + payload)
         return _Part(path, found)
 
     def commit(self, messages: list) -> None:
@@ -99,14 +99,16 @@ class _Writer(DataSourceWriter):
         if [o[0] for o in order] != list(range(len(order))):
             self.abort(messages)
             raise FormatError("blocks are missing or doubled")
-        archive = container.Archive(container.VERSION, False, self.block_size, sum(o[4] for o in order), None, [None] * len(order))
-        with open(f"{self.path}.tmp", "wb") as out:
-            out.write(container.pack_file_header(archive))
+        size = sum(o[4] for o in order) if self.stream is None else self.original_size
+        staging = f"{self.path}.tmp.{uuid.uuid4().hex}"
+        with open(staging, "wb") as out:
+            out.write(container.pack_file_header(self.block_size, size, len(order), self.directory, self.stream))
             for _, path, place, length, _ in order:
                 with open(path, "rb") as file:
                     file.seek(place)
-                    out.write(file.read(length))
-        os.replace(f"{self.path}.tmp", self.path)
+                    for at in range(0, length, 1 << 20):
+                        out.write(file.read(min(1 << 20, length - at)))
+        os.replace(staging, self.path)
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -124,10 +126,12 @@ class BlockArchive(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("width", 8)))
+        return _Reader(self.options["path"], int(self.options.get("partitionBytes", 32 << 20)), self.options.get("collapsed", "false").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], int(self.options["blockSize"]), overwrite)
+        stream = self.options.get("stream")
+        header = container.StreamHeader(*map(int, stream.split(","))) if stream else None
+        return _Writer(self.options["path"], int(self.options["blockSize"]), self.options.get("directory", "false").lower() == "true", int(self.options.get("originalSize", -1)), header)
 
 
 def register(spark: SparkSession) -> None:

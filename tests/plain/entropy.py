@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import FormatError
+from blockloom.codec import FormatError
 
 _U8, _TOP = 8, 1 << 24
 #: Lanes worked on together: bounds the memory of the mixing coder's tables.

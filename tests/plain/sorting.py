@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import FormatError
+from blockloom.codec import FormatError
 
 #: Fixed values of the format: least repeat that collapses, bytes of context, and the slot hash's multiplier.
 LEAST_MATCH, CONTEXT, SLOT_FACTOR = 128, 8, 0x9E3779B97F4A7C15

@@ -5,8 +5,14 @@ import tarfile
 import zlib
 
 import pytest
+from plain import entropy, sorting
+from pyspark.sql import functions as F
 
-from blockloom.codec import FormatError, blocks, container, entropy, sorting, tree
+from blockloom import kernels
+from blockloom.codec import FormatError, container, tree
+from blockloom.codec.blocks import MIXED, RANKED, RAW
+from blockloom.operators import stages
+from blockloom.plans import archive
 
 
 def shapes(seed, count=60):
@@ -27,124 +33,150 @@ def shapes(seed, count=60):
     return out
 
 
-def test_block_sorting_known_answer_and_inverse():
+def rows(spark, some):
+    return spark.createDataFrame([(i, 0, bytearray(b)) for i, b in enumerate(some)], "stream long, block_index long, bytes binary")
+
+
+def values(df, *columns):
+    """Values by stream; binaries as bytes."""
+    plain = lambda v: bytes(v) if isinstance(v, (bytes, bytearray)) else v
+    return [tuple(plain(r[c]) for c in columns) for r in sorted(df.collect(), key=lambda r: r.stream)]
+
+
+def test_plain_block_sorting():
     assert sorting.bwt_encode([b"banana", b""]) == [(b"annbaa", 4), (b"", 0)]
     some = shapes(1)
     for block, (column, primary) in zip(some, sorting.bwt_encode(some), strict=True):
-        rows = sorted([block[i:], i] for i in range(len(block) + 1))
-        assert column == bytes(block[i - 1] for _, i in rows if i)
+        order = sorted([block[i:], i] for i in range(len(block) + 1))
+        assert column == bytes(block[i - 1] for _, i in order if i)
         assert sorting.bwt_decode(column, primary) == block
-    for primary in (0, 2):
-        with pytest.raises(FormatError):
-            sorting.bwt_decode(b"x", primary)
-
-
-def test_recency_ranks():
-    for block in shapes(2):
-        recent, wanted = list(range(256)), []
-        for b in block:
-            wanted.append(recent.index(b))
-            recent.insert(0, recent.pop(wanted[-1]))
-        assert list(sorting.mtf_encode(block)) == wanted
-        assert sorting.mtf_decode(bytes(wanted)) == block
-
-
-def test_mixing_coder_roundtrip_and_errors():
-    some = shapes(3)
-    payloads = entropy.cm_encode(some)
-    assert entropy.cm_decode(payloads, [len(b) for b in some]) == some
-    payload, size = payloads[4], len(some[4])
-    for bad in (b"", payload[:1], payload[:3], payload[:-1], payload + b"x"):
-        assert isinstance(entropy.cm_decode([bad], [size])[0], FormatError)
-
-
-@pytest.mark.parametrize("extension", [2, 3])
-def test_run_coder_roundtrip_and_errors(extension):
-    some = shapes(4) + [b"\0" * n + b"\7" * n + b"\1" for n in (1, 2, 3, 8, 15, 16, 31, 255, 1000)]
-    symbols = [entropy.run_symbols(b, extension) for b in some]
-    for payload, s, b in zip(entropy.rc_encode(symbols), symbols, some, strict=True):
-        assert entropy.rc_decode(payload, len(s), len(b)) == b
-    payload = entropy.rc_encode([symbols[4]])[0]
-    good = (payload, len(symbols[4]), len(some[4]))
-    for bad in ((payload[:-1], *good[1:]), (payload + b"x", *good[1:]), (payload, good[1] - 1, good[2]), (payload, good[1], good[2] - 1), (b"", 1, 0), (b"x", 0, 0)):
-        with pytest.raises(FormatError):
-            entropy.rc_decode(*bad)
-
-
-def test_repeats_collapse_and_return():
-    rng = random.Random(5)
-    noise = bytes(rng.randrange(256) for _ in range(600))
-    for data in (noise * 7, b"ab" * 2000, b"q" * 5000, noise + noise[:300] + noise[100:500] + b"\1" * 400):
-        coded = sorting.lzp_encode(data)
-        assert len(coded) < len(data) and sorting.lzp_decode(coded, len(data)) == data
-        for bad in (b"", coded[:-1], coded + b"x", coded[:1]):
-            with pytest.raises(FormatError):
-                sorting.lzp_decode(bad, len(data))
-    assert sorting.lzp_encode(bytes(rng.randrange(256) for _ in range(4096))) is None
-    assert sorting.lzp_encode(b"a" * 136) is None
 
 
-def test_blocks_take_the_least_coding():
+def test_coders_give_the_bytes_of_the_plain_ones(spark):
+    rng = random.Random(11)
+    noise = rng.randbytes(600)
+    some = shapes(1) + shapes(2) + shapes(4) + [bytes(rng.choice(b"abc") for _ in range(3000)), noise * 7, noise + noise[:300] + noise[100:500] + b"\1" * 400, b"q" * 5000, rng.randbytes(4096), b"a" * 136]
+    some += [b"\0" * n + b"\7" * n + b"\1" for n in (1, 2, 3, 8, 15, 16, 31, 255, 1000)]
+    df = kernels.ready(rows(spark, some)).withColumn("s", kernels.sort("bytes"))
+    df = df.select("stream", "s.*", kernels.order("bytes").alias("order"), kernels.ranks("bytes").alias("ranks"), kernels.mix_encode("bytes").alias("mixed"), kernels.collapse("bytes", 20).alias("short"), *(kernels.run_encode("bytes", k).alias(f"run_{k}") for k in (2, 3)))
+    got = sorted(df.collect(), key=lambda r: r.stream)
+    mixed, orders = entropy.cm_encode(some), sorting.suffix_arrays(some)
+    runs = {k: [entropy.run_symbols(b, k) for b in some] for k in (2, 3)}
+    coded = {k: entropy.rc_encode(runs[k]) for k in (2, 3)}
+    for i, (row, block, column) in enumerate(zip(got, some, sorting.bwt_encode(some), strict=True)):
+        assert (bytes(row.data), row.primary_index) == column and list(row.order) == orders[i].tolist()
+        assert bytes(row.ranks) == sorting.mtf_encode(block) and bytes(row.mixed) == mixed[i]
+        assert (None if row.short is None else bytes(row.short)) == sorting.lzp_encode(block)
+        for k in (2, 3):
+            assert (row[f"run_{k}"].symbols, bytes(row[f"run_{k}"].payload)) == (len(runs[k][i]), coded[k][i])
+
+
+def test_coders_give_up_at_the_limit(spark):
+    some = [b for b in shapes(3) if b]
+    df = kernels.ready(rows(spark, some)).withColumn("whole", kernels.mix_encode("bytes")).withColumn("run", kernels.run_encode("bytes", 2)["payload"])
+    n, m = F.length("whole").cast("long"), F.length("run").cast("long")
+    tried = df.select("stream", "whole", "run", kernels.mix_encode("bytes", n).alias("a"), kernels.mix_encode("bytes", n + 1).alias("b"), kernels.run_encode("bytes", 2, m).alias("c"), kernels.run_encode("bytes", 2, m + 1)["payload"].alias("d"))
+    for row in tried.collect():
+        assert row.a is None and row.c is None and row.b == row.whole and row.d == row.run
+
+
+@pytest.mark.parametrize("stage", sorted(stages.ROUNDTRIPS))
+def test_stages_restore_their_blocks(spark, stage):
+    some = [b for b in shapes(4) if b]  # no block is empty
+    assert [b for (b,) in values(stages.roundtrip(rows(spark, some), stage), "bytes")] == some
+
+
+def test_blocks_take_the_least_coding(spark):
     some = [b for b in shapes(6) if b] + [random.Random(7).randbytes(4096)]
-    coded = blocks.encode_blocks(some)
-    assert blocks.decode_blocks(coded) == some
-    assert coded[-1].mode == blocks.RAW and any(b.mode == blocks.RANKED for b in coded) and any(b.mode == blocks.MIXED for b in coded)
-    for block, data, found in zip(coded, some, blocks.candidates(some), strict=True):
-        assert block.payload_size == min(len(data), *(c.payload_size for c in found))
+    coded = stages.encode(rows(spark, some)).cache()
+    assert values(stages.decode(coded), "bytes", "error") == [(b, None) for b in some]
+    found = values(coded, "mode", "payload_size", "checksum")
+    assert found[-1][0] == RAW and {m for m, _, _ in found} == {RAW, RANKED, MIXED}
+    sizes = values(stages.candidate_sizes(rows(spark, some)), "original_size", "mixed", "ranked_2", "ranked_3", "collapsed")
+    for (_, size, checksum), block, each in zip(found, some, sizes, strict=True):
+        assert size == min(x for x in each if x is not None) and checksum == zlib.adler32(block)
+
+
+def test_damaged_blocks_have_errors(spark):
+    some = [b for b in shapes(5, 25) if len(b) > 20]
+    coded = stages.encode(rows(spark, some)).cache()
+    raw = F.col("payload")
+    ways = [F.substring(raw, F.lit(1), F.length(raw) - 1), F.concat(raw, F.unhex(F.lit("78"))), F.substring(raw, 1, 3), F.unhex(F.lit(""))]
+    for way in ways:
+        back = stages.decode(coded.withColumn("payload", way))
+        assert all(error for (error,) in values(back, "error"))
+    flipped = coded.withColumn("payload", F.concat(F.substring(raw, F.lit(1), F.length(raw) - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring(raw, -1, 1)), 16, 10).cast("long").bitwiseXOR(F.lit(255))), 2, "0"))))
+    for (data, error), block in zip(values(stages.decode(flipped), "bytes", "error"), some, strict=True):
+        assert error or data == block  # a coder's last byte may be of no weight
+    for field, value in (("checksum", F.col("checksum") + 1), ("primary_index", F.lit(0).cast("long")), ("primary_index", F.lit(10**6)), ("mode", F.lit(3).cast("long"))):
+        kept = coded.where("mode <> 0").withColumn(field, value.cast("long"))
+        assert all(error for (error,) in values(stages.decode(kept), "error"))
 
 
 def pieces():
     return bytes(97 + i % 26 for i in range(600)) + b"\0" * 500 + b"x" * 300 + bytes(i * 37 % 251 for i in range(700))
 
 
-def test_format_pin():
-    """Any change to these bytes is a change of the format."""
-    packed = container.pack(container.compress(pieces(), 1024))
-    assert hashlib.sha256(packed).hexdigest() == PIN
-    assert container.restore(container.parse(packed)) == pieces()
+def packed(spark, data, size=None, profile="default"):
+    streams = spark.createDataFrame([(0, bytearray(data))], "stream long, content binary")
+    return bytes(archive.archives(streams, size, profile).first().archive)
 
 
-PIN = "260d03cadc4ec36a4241b2d865947bf9125f85a26ddfd90dab3f3b2d02c2583b"
+def restored(spark, *some):
+    rows_ = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(some)], "stream long, archive binary")
+    return values(archive.restored(rows_), "content", "error")
 
 
-@pytest.mark.parametrize("data,size,profile", [(b"", None, "default"), (b"a", None, "default"), (pieces() * 3, 1024, "default"), (pieces(), None, "ratio"), (b"".join(shapes(8, 10)), 1024, "default")])
-def test_container_roundtrip(data, size, profile):
-    archive = container.compress(data, size, profile)
-    packed = container.pack(archive)
-    assert container.parse(packed) == archive and container.restore(archive) == data
-    assert len(packed) == 24 + 16 * (archive.stream is not None) + container.encoded_size(archive.blocks)
+def test_format_pin(spark):
+    """Any change to these bytes is a change of the format."""
+    found = packed(spark, pieces(), 1024)
+    assert hashlib.sha256(found).hexdigest() == PIN
+    assert restored(spark, found) == [(pieces(), None)]
 
 
-def test_version_one_is_read():
-    data = b"a text that says itself again, " * 90
-    ranked = [min(c[1:3], key=lambda b: b.payload_size) for c in blocks.candidates(container.split(data, 1024))]
-    packed = container.pack(container.Archive(1, False, 1024, len(data), None, ranked))
-    assert container.restore(container.parse(packed)) == data
-    with pytest.raises(FormatError):
-        container.parse(packed[:24] + b"\2" + packed[25:])
+PIN = "260d03cadc4ec36a4241b2d865947bf9125f85a26ddfd90dab3f3b2d02c2583b"
 
 
-def test_damage_is_an_error_or_harmless():
+@pytest.mark.parametrize("data,size,profile", [(b"", None, "default"), (b"a", None, "default"), (pieces() * 3, 1024, "default"), (pieces(), None, "ratio"), (b"".join(shapes(8, 10)), 1024, "default")])
+def test_container_roundtrip(spark, data, size, profile):
+    found = packed(spark, data, size, profile)
+    index = container.parse(found)
+    assert index.original_size == len(data) and restored(spark, found) == [(data, None)]
+    assert len(found) == container.file_header_bytes(index.stream is not None) + sum(container.HEADER_BYTES + h.payload_size for h in index.heads)
+    assert found.startswith(container.pack_file_header(index.block_size, len(data), len(index.heads), False, index.stream))
+    for h in index.heads:
+        head = container.pack_block_header(h.mode, h.lzp, h.original_size, h.payload_size, h.primary_index, h.intermediate_size, h.checksum)
+        assert found[h.place - container.HEADER_BYTES : h.place] == head
+
+
+def test_version_one_is_read(spark):
+    data = b"a text that says itself again, " * 90
+    parts = [data[i : i + 1024] for i in range(0, len(data), 1024)]
+    out = container.pack_file_header(1024, len(data), len(parts), version=1)
+    for part, (column, primary) in zip(parts, sorting.bwt_encode(parts), strict=True):
+        symbols = entropy.run_symbols(sorting.mtf_encode(column), 2)
+        (payload,) = entropy.rc_encode([symbols])
+        out += container.pack_block_header(RANKED, False, len(part), len(payload), primary, len(symbols), zlib.adler32(part)) + payload
+    mixed = bytearray(out)
+    mixed[24] = MIXED
+    assert restored(spark, out, mixed) == [(data, None), (None, "unknown block mode")]
+
+
+def test_damage_is_an_error_or_harmless(spark):
     data = pieces()
-    packed = container.pack(container.compress(data, 4096))
+    good = packed(spark, data, 4096)
     rng = random.Random(9)
+    bad = []
     for round_ in range(150):
-        if round_ % 3 == 0:
-            bad = packed[: rng.randrange(len(packed))]
-        else:
-            bad = bytearray(packed)
-            bad[rng.randrange(len(packed))] ^= 1 << rng.randrange(8)
-        try:
-            assert container.restore(container.parse(bytes(bad))) == data
-        except FormatError:
-            pass
+        some = bytearray(good)
+        some[rng.randrange(len(good))] ^= 1 << rng.randrange(8)
+        bad.append(bytes(some) if round_ % 3 else good[: rng.randrange(len(good))])
     for at in range(48):
-        bad = bytearray(packed)
-        bad[at] ^= 255
-        try:  # another block size may fit a single block as well
-            assert container.restore(container.parse(bytes(bad))) == data and 8 <= at < 12
-        except FormatError:
-            pass
+        bad.append(good[:at] + bytes([good[at] ^ 255]) + good[at + 1 :])
+    found = restored(spark, *bad)
+    assert all(error or content == data for content, error in found)
+    # another block size may fit a single block as well
+    assert all(error or 8 <= at < 12 for at, (_, error) in enumerate(found[150:]))
 
 
 def test_trees_match_the_common_format(tmp_path):
@@ -154,10 +186,14 @@ def test_trees_match_the_common_format(tmp_path):
     assert tree.parse(stream) == wanted
     with tarfile.open(fileobj=io.BytesIO(stream)) as tar:
         assert [(m.name, m.isdir(), m.mtime) for m in tar] == [(e.path, e.directory, 0) for e in wanted]
-    tree.extract(stream, str(tmp_path / "out"))
+    (tmp_path / "tar").write_bytes(stream)
+    tree.extract_file(str(tmp_path / "tar"), str(tmp_path / "out"))
+    tree.write_tree(str(tmp_path / "out"), str(tmp_path / "again"))
+    missing = {"p" * 120, "nested/deep"}  # folders that extraction made
+    assert [e for e in tree.parse((tmp_path / "again").read_bytes()) if e.path not in missing] == wanted
     assert (tmp_path / "out" / "nested" / "deep" / "b.bin").read_bytes() == bytes(range(256)) * 20
     with pytest.raises(ValueError):
-        tree.extract(stream, str(tmp_path / "out"))
+        tree.extract_file(str(tmp_path / "tar"), str(tmp_path / "out"))
     for path in ("../escape.txt", "/absolute.txt", "nested/../../escape.txt", "", "."):
         with pytest.raises(FormatError):
             tree.safe_path(path)
@@ -165,7 +201,3 @@ def test_trees_match_the_common_format(tmp_path):
         with pytest.raises(FormatError):
             tree.parse(bad)
     assert tree.parse_size(tree.size_field(1 << 40)) == 1 << 40
-
-
-def test_checksums_are_adler():
-    assert [b.checksum for b in blocks.encode_blocks([b"abc"])] == [zlib.adler32(b"abc")]

@@ -10,7 +10,7 @@ from blockloom.plans import archive
 from blockloom.sources import container_source
 from blockloom.streaming import encode
 
-SLOW = {"codec_comparison", "mode_counts"}
+NO_SQL = {"codec_comparison", "lzp_matches", "mode_counts"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -22,7 +22,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - NO_SQL))
 def test_query_gives_the_rows_of_its_sql(spark, sf_dir, duck, name):
     found = duck.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in found.description]
@@ -46,8 +46,34 @@ def test_empty_and_null_streams(spark):
     assert (stats.input_size, stats.block_count, stats.ratio) == (0, 0, 0.0)
 
 
+def test_queries_without_sql(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    wanted = set()
+    for key, data in texts.items():
+        last = {}
+        for at in range(8, len(data)):
+            slot = int.from_bytes(data[at - 8 : at], "big") * 0x9E3779B97F4A7C15 % (1 << 64) >> 44
+            source = last.get(slot)
+            last[slot] = at
+            if source is not None and at + 128 <= len(data) and data[source : source + 128] == data[at : at + 128]:
+                wanted.add((key, at, source))
+    assert {tuple(r) for r in queries.lzp_matches(spark, sf_dir).select("doc_id", "pos", "source").collect()} == wanted
+    size = sum(map(len, texts.values()))
+    counts = queries.mode_counts(spark, sf_dir).first()
+    assert counts.input_size == size and counts.block_count == sum(1 for t in texts.values() if t)
+    sizes = queries.codec_comparison(spark, sf_dir).first()
+    assert sizes["size"] == size and sizes.own < sizes.gzip
+
+
+def test_runs_across_blocks(spark):
+    data = b"aab" + b"b" * 40 + b"a" * 7 + b"c" + b"\0" * 16
+    runs = stages.run_islands(stages.split_blocks(streams(spark, data, b"", data[:8]), 8), 8)
+    wanted = [(0, 0, 2, 97), (0, 2, 41, 98), (0, 43, 7, 97), (0, 50, 1, 99), (0, 51, 16, 0), (2, 0, 2, 97), (2, 2, 6, 98)]
+    assert sorted(tuple(r) for r in runs.select("stream", "start", "length", "byte").collect()) == wanted
+
+
 def test_verify_never_raises(spark):
-    good = container.pack(container.compress(b"some text " * 200, 1024))
+    good = bytes(archive.archives(streams(spark, b"some text " * 200), 1024).first().archive)
     bad = [good[:-1], b"", good + b"x", b"X" + good[1:], good[:60] + bytes([good[60] ^ 1]) + good[61:]]
     rows = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate([good, *bad])], "stream long, archive binary")
     errors = {r.stream: r.error for r in archive.verify(rows).collect()}
@@ -74,7 +100,7 @@ def test_files_and_folders(spark, tmp_path):
         if source.is_file():
             assert back.read_bytes() == text
             # tasks don't change the bytes
-            assert target.read_bytes() == container.pack(container.compress(text, size))
+            assert target.read_bytes() == bytes(archive.archives(streams(spark, text), size).first().archive)
         else:
             assert (back / "a.txt").read_bytes() == text and (back / "nested" / "empty").is_dir()
             assert (back / "nested" / ("n" * 180 + ".txt")).read_bytes() == b""
@@ -97,13 +123,30 @@ def test_container_source(spark, tmp_path):
     path = str(tmp_path / "blocks.arc")
     coded.drop("stream").repartition(3).write.format("blockarchive").option("path", path).option("blockSize", 1024).mode("append").save()
     with open(path, "rb") as file:
-        assert container.restore(container.parse(file.read())) == data
+        packed = spark.createDataFrame([(0, bytearray(file.read()))], "stream long, archive binary")
+    assert bytes(archive.restored(packed).first().content) == data
     read = spark.read.format("blockarchive").option("path", path).load()
     count = -(-len(data) // 1024)
     assert sorted(r.block_index for r in read.select("block_index").collect()) == list(range(count))
     part = read.where("block_index >= 2 AND block_index < 4").selectExpr("0L AS stream", "*")
     assert b"".join(bytes(r.bytes) for r in stages.decode(part).orderBy("block_index").collect()) == data[2048:4096]
-    assert [p for p in os.listdir(tmp_path) if ".part." in p or p.endswith(".tmp")] == []
+    assert [p for p in os.listdir(tmp_path) if ".part." in p or ".tmp" in p] == []
+    # blocks of a collapsed stream, and a folder's
+    text = data[3000:] * 3
+    whole = bytes(archive.archives(streams(spark, text), 1024).first().archive)
+    index = container.parse(whole)
+    assert index.stream
+    with open(path, "wb") as file:
+        file.write(whole)
+    with pytest.raises(Exception, match="collapsed"):
+        spark.read.format("blockarchive").option("path", path).load().collect()
+    inner = spark.read.format("blockarchive").option("path", path).option("collapsed", "true").option("partitionBytes", 100).load()
+    again = str(tmp_path / "again.arc")
+    stream = f"{index.stream.coded_size},{index.stream.checksum},{index.stream.hash_bits}"
+    inner.write.format("blockarchive").option("path", again).option("blockSize", 1024).option("stream", stream).option("originalSize", len(text)).option("directory", "true").mode("append").save()
+    with open(again, "rb") as file:
+        found = file.read()
+    assert found == whole[:5] + bytes([whole[5] | container.DIRECTORY]) + whole[6:]
 
 
 def test_incremental_coding(spark, tmp_path):
