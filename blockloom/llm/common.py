@@ -1,58 +1,22 @@
-"""Pieces shared by the operators: shared folders, Arrow text access, ordered cuts."""
+"""Pieces shared by the operators: Arrow text access, ordered cuts, rolling hashes."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, drop_path, shared_dir, shared_path  # noqa: F401  operators take them from here
+
 #: A word: a run of anything but space and the characters 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step works on at a time.
 PIECE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none and runs in one process (tests) is a temporary folder set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="blockloom-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that shared_path named, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    there = jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder; a lost executor loses none of them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text column holds about `limit` bytes, one row at least."""
     for batch in batches:
