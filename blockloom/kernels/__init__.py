@@ -33,6 +33,7 @@ _TYPES = {
     "Restore": _FOUND,
     "Checksum": "long",
     "Join": _BYTES,
+    "Read": _BYTES,
 }
 #: The functions' objects by application; sessions of one application share them.
 _OBJECTS: dict[str, dict] = {}
@@ -154,3 +155,8 @@ def checksum(data: Column | str) -> Column:
 def join(parts: Column) -> Column:
     """An array of binaries as one."""
     return _call("Join", parts)
+
+
+def read(path: Column | str, place: Column | str, length: Column | str) -> Column:
+    """Bytes of a file from a place on; the file may be in any store that Spark reads."""
+    return _call("Read", path, place, length)
