@@ -1,9 +1,10 @@
 """Token counts of the documents in flat, unindexed token files, by a separator scan (operator 5).
 
-Files are cut into blocks. Each block is searched at once for the separator id, with no regard to its
-neighbours. What crosses blocks follows from a prefix scan over one row a block: how many ids come
-before it, where the last separator before it stands, and how many separators there were. So a document
-may run over any number of blocks.
+Files are cut into blocks by byte ranges, and blocks are dealt over tasks whatever file they are of. Each is
+searched at once for the separator id, with no regard to its neighbours. What crosses blocks, and so tasks,
+follows from a prefix scan over one narrow row a block: how many ids come before it, where the last separator
+before it stands, and how many separators there were. So a document may run over any number of blocks, and a
+file may be of any size.
 
 Cases. Empty document: 0 ids, counted. Ids after the last separator: a document without an end, counted.
 Empty file: no documents. Null text: empty. For `count_tokens`: null doc_id first in its file; equal
@@ -16,52 +17,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
-from .token_files import END_ID, ID_BYTES, read_files, shards_for, token_rows, write_records
+from .common import cut, shared_path
+from .token_files import END_ID, ID_BYTES, file_blocks, shards_for, token_rows, write_records
 
-#: Ids of a block.
-BLOCK = 1 << 19
+#: Bytes of a block.
+BLOCK = 1 << 20
 
 
-def scan_blocks(files: DataFrame, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
-    """Rows (shard, block, size, ends): each block's ids, and the places of separators in it."""
+def scan_blocks(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """Rows (shard, block, size, ends) of rows (shard, block, content): each block's ids, and the places of separators in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+            for i, content in enumerate(batch.column("content")):
                 raw = content.as_buffer()
                 ids = np.frombuffer(raw, "<u2", raw.size // ID_BYTES)
-                for number, at in enumerate(range(0, len(ids), block)):
-                    part = ids[at : at + block]
-                    ends = np.flatnonzero(part == end_id).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([number], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([ends], pa.list_(pa.int32()))], ["shard", "block", "size", "ends"])
+                ends = np.flatnonzero(ids == end_id).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns[:2], pa.array([len(ids)], pa.int64()), pa.array([ends], pa.list_(pa.int32()))], ["shard", "block", "size", "ends"])
 
-    return files.mapInArrow(run, "shard long, block long, size long, ends array<int>")
+    return blocks.select("shard", "block", "content").mapInArrow(run, "shard long, block long, size long, ends array<int>")
 
 
 def stitch(blocks: DataFrame) -> DataFrame:
-    """Rows (shard, doc_no, start, n_tokens) of all documents, from scanned blocks."""
+    """Rows (shard, doc_no, start, n_tokens) of all documents, from scanned blocks, which are read twice."""
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy("shard").orderBy("block")
+    along = Window.partitionBy("shard").orderBy("block")
     zero = F.lit(0).cast("long")
-    placed = blocks.select("*", F.coalesce(F.sum("size").over(earlier), zero).alias("base"), F.coalesce(F.sum(F.size("ends")).over(earlier), zero).alias("doc_base"), F.lead("block").over(later).isNull().alias("is_last"))
-    after_end = F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1)
+    narrow = blocks.select("shard", "block", "size", F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    placed = narrow.select("*", F.coalesce(F.sum("size").over(earlier), zero).alias("base"), F.coalesce(F.sum("n").over(earlier), zero).alias("doc_base"), F.lead("block").over(along).isNull().alias("is_last"))
+    after_end = F.col("base") + F.col("last") + 1
     carried = placed.withColumn("open", F.coalesce(F.max(after_end).over(earlier), zero))
     # a last document without a separator ends where the file does
     rest = F.col("base") + F.col("size") - F.coalesce(after_end, F.col("open"))
+    scanned = carried.select("shard", "block", "base", "doc_base", "open", (F.col("is_last") & (rest > 0)).alias("tail"), (F.col("base") + F.col("size")).alias("stop"))
+    joined = blocks.select("shard", "block", "ends").join(scanned, ["shard", "block"])
     ends = F.transform("ends", lambda e: F.col("base") + e)
-    ends = F.when(F.col("is_last") & (rest > 0), F.concat(ends, F.array(F.col("base") + F.col("size")))).otherwise(ends)
-    each = carried.select("shard", "doc_base", "open", ends.alias("all")).select("shard", "doc_base", "open", "all", F.posexplode("all").alias("nth", "end"))
+    ends = F.when(F.col("tail"), F.concat(ends, F.array("stop"))).otherwise(ends)
+    each = joined.select("shard", "doc_base", "open", ends.alias("all")).select("shard", "doc_base", "open", "all", F.posexplode("all").alias("nth", "end"))
     start = F.when(F.col("nth") == 0, F.col("open")).otherwise(F.get("all", F.col("nth") - 1) + 1)
     return each.select("shard", (F.col("doc_base") + F.col("nth")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"))
 
 
-def scan_files(spark, path: str) -> DataFrame:
-    """Rows (shard, doc_no, start, n_tokens) of the flat token files under a path."""
-    return stitch(scan_blocks(read_files(spark, path)))
+def scan_files(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """Rows (shard, doc_no, start, n_tokens) of the flat token files under a path, in blocks of an even number of bytes."""
+    return stitch(cut(scan_blocks(file_blocks(spark, path, block))))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -72,7 +74,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = path or shared_path(spark, "tokens")
     shards = shards_for(docs)
-    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.xxhash64("text").alias("text_key"))
+    text_key = F.xxhash64("text")  # it deals, too: null or equal doc_ids may be many
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", text_key), F.lit(shards)).alias("shard"), text_key.alias("text_key"))
     rows = token_rows(placed, "shard,text_key").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text_key")
     write_records(rows.select("shard", F.col("tokens").alias("record")), path)
     order = Window.partitionBy("shard").orderBy("doc_id", "text_key")

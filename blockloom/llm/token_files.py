@@ -1,6 +1,7 @@
 """Flat token files: little-endian 16-bit ids, documents ended by a separator id, no index.
 
-Files are written and read by Spark's own text and binary-file sources, so any storage it knows will do.
+Files are written by Spark's own text source and read by byte ranges through the session's file systems, so
+any storage it knows will do.
 The text source ends each record with the characters of `lineSep`; with two line feeds these are the
 bytes 0A 0A, that is, the id 2570, which therefore is the separator here. The hash tokenizer never gives it,
 nor the id that pads sequences.
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import kernels
 from ..session import shuffle_partitions
 from .common import pieces, utf8
 
 #: The separator, as an id and as the text source writes it.
 END_ID, END_TEXT = 0x0A0A, "\n\n"
 ID_BYTES, PAD_ID = 2, 0xFFFF
+#: Bytes of a file that writers aim at.
+SHARD_BYTES = 64 << 20
 #: Word hashes a task keeps.
 KEPT_WORDS = 500_000
 
@@ -58,7 +62,7 @@ def token_rows(docs: DataFrame, more: str = "") -> DataFrame:
     return docs.select("doc_id", "text", *kept).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens binary, n_tokens long{fields}")
 
 
-def shards_for(docs: DataFrame, shard_bytes: int = 64 << 20) -> int:
+def shards_for(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     """How many files to write: the shuffle width, or more for large tables, by the plan's own size estimate."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0  # Spark's figure for a plan of unknown size is the largest long
@@ -70,9 +74,19 @@ def write_records(rows: DataFrame, path: str) -> None:
     rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END_TEXT).mode("overwrite").text(path)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (shard, content), one a file; none where nothing was written."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def file_blocks(spark: SparkSession, path: str, block: int, first: Column | int = 0) -> DataFrame:
+    """Rows (shard, block, content): the files under a path in blocks of so many bytes, each read alone, from a place on.
+
+    Only names and lengths are listed; a block is read by the task that works on it, wherever the file is, so
+    that files may be of any size. first: the place from which a file is wanted, by its shard number.
+    """
+    files = kernels.ready(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path))
     if "shard" not in files.columns:
-        return spark.createDataFrame([], "shard long, content binary")
-    return files.select(F.col("shard").cast("long").alias("shard"), "content")
+        return spark.createDataFrame([], "shard long, block long, content binary")
+    least = F.floor((F.lit(first) if isinstance(first, int) else first) / block)
+    numbers = F.sequence(least, F.floor((F.col("length") - 1) / block))
+    listed = files.select(F.col("shard").cast("long").alias("shard"), "path", "length").where((F.col("length") > 0) & (least * block < F.col("length")))
+    each = listed.select("shard", "path", "length", F.explode(numbers).alias("block"))
+    dealt = each.repartition(shuffle_partitions(spark), "shard", "block")
+    size = F.least(F.lit(block), F.col("length") - F.col("block") * block)
+    return dealt.select("shard", "block", kernels.read("path", F.col("block") * block, size).alias("content"))

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from blockloom.llm import bpe, mixing, queries, repetition, separator_scan, token_files, toxicity, training_order
@@ -145,13 +146,20 @@ def brute_documents(ids, end):
     return out + ([(start, len(ids) - start)] if start < len(ids) else [])
 
 
-@pytest.mark.parametrize("block", [1, 3, 64, 1 << 19])
-def test_separator_scan_over_blocks(spark, block):
+@pytest.mark.parametrize("block", [2, 6, 128, 1 << 20])
+def test_separator_scan_over_byte_ranges(spark, tmp_path, block):
+    """Files are cut into ranges that different tasks read; documents run over any number of them."""
     rng = random.Random(block)
     files = [[rng.choice([1, 2, 3, token_files.END_ID]) for _ in range(rng.randint(0, 120))] for _ in range(12)] + [[], [5] * 50, [token_files.END_ID] * 9]
-    rows = [(i, bytearray(np.array(f, "<u2").tobytes())) for i, f in enumerate(files)]
-    blocks = separator_scan.scan_blocks(spark.createDataFrame(rows, "shard long, content binary"), block)
-    got = sorted(tuple(r) for r in separator_scan.stitch(blocks).collect())
+    for i, ids in enumerate(files):
+        (tmp_path / f"shard={i}").mkdir()
+        (tmp_path / f"shard={i}" / "part-0").write_bytes(np.array(ids, "<u2").tobytes())
+    path = f"file://{tmp_path}"
+    ranges = token_files.file_blocks(spark, path, block)
+    assert ranges.count() == sum(-(-2 * len(f) // block) for f in files)
+    tasks = {(r.shard, r.task) for r in ranges.select("shard", F.spark_partition_id().alias("task")).collect()}
+    assert block > 128 or len(tasks) > len({shard for shard, _ in tasks})
+    got = sorted(tuple(r) for r in separator_scan.scan_files(spark, path, block).collect())
     assert got == sorted((i, n, *d) for i, f in enumerate(files) for n, d in enumerate(brute_documents(f, token_files.END_ID)))
 
 
@@ -184,6 +192,14 @@ def test_shards_hold_every_sequence_in_order(spark, tmp_path):
     assert sum(r.n_tokens for r in read.values()) == total
     later = training_order.read_slots(spark, f"file://{tmp_path}/order", per_shard, first=7).collect()
     assert sorted(r.slot for r in later) == list(range(7, len(read)))
+    # shards follow the bytes, and a reader opens no more than it needs
+    _, small = training_order.materialise(docs, f"file://{tmp_path}/small", shard_bytes=10 * training_order.STRIDE)
+    assert small <= 10
+    again = training_order.read_slots(spark, f"file://{tmp_path}/small", small, first=23, records=4)
+    assert {r.slot: (r.n_tokens, bytes(r.ids)) for r in again.collect()} == {k: (r.n_tokens, bytes(r.ids)) for k, r in read.items() if k >= 23}
+    place = F.greatest(F.lit(0), F.lit(23) - F.col("shard") * small).cast("long") * training_order.STRIDE
+    opened = token_files.file_blocks(spark, f"file://{tmp_path}/small", 4 * training_order.STRIDE, place).select("shard", "block").collect()
+    assert opened and all(r.shard * small + (r.block + 1) * 4 > 23 for r in opened)
     assert training_order.ordered_sequences(frame(spark, [])).count() == 0
 
 
