@@ -290,13 +290,13 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "has_repeats", "kept"])
 
 
-def salted_join(rows: DataFrame, known: DataFrame, on: str, by: tuple[str, str]) -> DataFrame:
-    """Rows (on, ..) joined with rows (on, n, ..); those of the HOT greatest n are spread over SALTS tasks each, by two columns."""
-    hot = F.broadcast(known.groupBy(on).agg(F.max("n").alias("n")).orderBy(F.desc("n"), on).limit(HOT).select(on, F.lit(True).alias("hot")))  # HOT rows at most
+def salted_join(found: DataFrame, twice: DataFrame) -> DataFrame:
+    """The anchors whose hash is in `twice`; rows of the HOT most frequent hashes are spread over SALTS tasks each."""
+    hot = F.broadcast(twice.orderBy(F.desc("n"), "hash").limit(HOT).select("hash", F.lit(True).alias("hot")))  # HOT rows at most
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = known.drop("n").join(hot, on, "left").withColumn("salt", F.explode(salts)).drop("hot")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int")
-    return rows.join(hot, on, "left").withColumn("salt", salt).drop("hot").join(right, [on, "salt"])
+    right = twice.join(hot, "hash", "left").select("hash", F.explode(salts).alias("salt"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "at"), F.lit(SALTS))).otherwise(0).cast("int")
+    return found.join(hot, "hash", "left").withColumn("salt", salt).join(right, ["hash", "salt"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(row_key(docs).alias("key"), "text")
     found = keyed.mapInArrow(_anchor_rows, "hash long, key binary, at int, first int, last int")
     twice = cut(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    by_text = salted_join(found, twice, "hash", ("key", "at")).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
+    by_text = salted_join(found, twice).groupBy("key").agg(F.collect_list(F.struct("at", "first", "last")).alias("found"))
     # dealt once: all joins with the texts read the same columns, so that they share this exchange
     dealt = docs.select(row_key(docs).alias("key"), "doc_id", "text").repartition(parts, "key")
     ready = dealt.join(by_text, "key", "left")
@@ -314,11 +314,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = ready.mapInArrow(_suffix_rows(cuts, False), "name binary, key binary, first int")
     distinct = contexts.groupBy("name").agg(F.first("bucket").alias("bucket"), F.first("ahead").alias("ahead"), F.first("context").alias("context"), F.count("*").alias("copies"))
     sorted_in = distinct.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    runs = cut(sorted_in.mapInArrow(_compared, "name binary, copies long, start int, stop int, string binary").withColumnRenamed("copies", "n"))
+    runs = sorted_in.mapInArrow(_compared, "name binary, copies long, start int, stop int, string binary")
     pending = runs.where("string is not null")
-    again = pending.groupBy("string").agg(F.sum("n").alias("all")).where("all > 1").select("string")
-    runs = runs.where("string is null").drop("string").union(pending.join(again, "string").select("name", "n", "start", "stop"))
-    spans = salted_join(places, runs, "name", ("key", "first")).groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop") + LENGTH).alias("b"))).alias("spans"))
+    again = pending.groupBy("string").agg(F.sum("copies").alias("n")).where("n > 1").select("string")
+    runs = runs.where("string is null").select("name", "start", "stop").union(pending.join(again, "string").select("name", "start", "stop"))
+    # places of one context may be many: adaptive execution splits such a partition, as the groups come after another exchange
+    spans = runs.join(places, "name").groupBy("key").agg(F.collect_list(F.struct((F.col("first") + F.col("start")).alias("a"), (F.col("first") + F.col("stop") + LENGTH).alias("b"))).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     done = dealt.join(spans, "key", "left")
     return done.mapInArrow(_cut_out, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_repeats boolean, kept binary")
