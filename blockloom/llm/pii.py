@@ -1,13 +1,19 @@
 """PII surrogates, by DataFrame and SQL functions only (operator 1).
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social security numbers,
-IBANs, access keys, tokens and passwords, and names after a form of address. Each entity has a normal
-form (case, spaces and punctuation aside; case counts in secrets that aren't hexadecimal), so that all
-its spellings get one surrogate everywhere. A surrogate comes from a keyed hash of type and normal form
-and keeps the type's format: digits stay digits, hexadecimal stays hexadecimal in its own case, a card that passes the check-digit test passes it again, names
-keep script and the gender of their form of address. Surrogates are compared with one another and with
-all originals of their type; whoever clashes draws again, until none does, so that different entities
-stay different and none becomes another.
+Detected: e-mail addresses, phone numbers, IPv4 addresses, payment cards, social security numbers, IBANs,
+access keys, tokens and passwords, names after a form of address, and the same names wherever else the text
+has them, in the same or in capital letters. Each entity has a normal form (case, spaces and punctuation
+aside; case counts in secrets that aren't hexadecimal; phone numbers with their country, +1 where a number of
+ten digits names none), so that all its spellings get one surrogate everywhere. A surrogate comes from a keyed
+hash (HMAC) of type and normal form and keeps the type's format: digits stay digits, hexadecimal stays
+hexadecimal in its own case, a card that passes the check-digit test passes it again, names keep script, case
+and the gender of their form of address, if it has one. Surrogates are compared with one another and with all
+originals of their type; whoever clashes draws again, until none does, so that different entities stay
+different and none becomes another. Where a format has no room left, the entities still without a surrogate
+take one another's places.
+
+Not detected: names that no form of address is before in their text; cards of other than 16 digits without a
+fitting check digit; letters outside Latin, Cyrillic and Greek script become Latin ones.
 
 Documents without any trace of an entity take no part in a join. Of the others only the text moves, once.
 
@@ -17,20 +23,28 @@ itself, with the same surrogates. Very long texts: whole. Empty table: no rows.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: The key where the session sets none (spark.blockloom.surrogateKey) and none is given.
 KEY = "surrogates-1"
-#: Draws after which a clash is an error; each draw after the second has far more room.
+#: Draws after which a format counts as full; each draw after the second has far more room.
 MOST_DRAWS = 40
 
 #: Forms of address by gender (fixed values).
 MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Г-н", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Г-жа", "Госпожа")
-_FORMS = "|".join(sorted((*MALE, *FEMALE), key=len, reverse=True))
-_NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
+NEUTRAL = ("Dr", "Prof", "Doctor", "Professor", "Доктор", "Профессор")
+_FORMS = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
+#: Short forms that are no words of their own: they count in any case, before a name in any case.
+_SHORT = "(?i:mrs?|dr|prof)"
+_NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+#: Letters of a name that is looked for elsewhere in its text, at least.
+LEAST_BARE = 3
 
 #: What a secret follows, in any case; the patterns look at it only behind a sign that may end it, which is quick.
 _SECRET = r"""(?i:token|secret|passw(?:or)?d|pwd|api_?key)\s?[=:]"""
@@ -44,16 +58,16 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}\.){1,8}\p{L}{2,24}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "access": r"\b(?:AKIA|ASIA)[A-Z0-9]{12,16}\b",
-    "phone": r"(?<![\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|(?<!\p{N})\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\p{N})",
+    "phone": r"(?<![\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}\b|(?<![\p{N}.])00[1-9]\d{0,2}[ .-]\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4}\b|(?<!\p{N})\(\d{3}\) ?\d{3}[ .-]\d{4}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b",
+    "ip": r"(?<![\p{N}.vV])(?<!(?i:version|release|build)[ :=]{1,2})(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\p{N})",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "card": r"\b\d{4}(?:[ -]\d{4}){3}\b|\b\d{13,19}\b",
     "secret": rf"""(?<=[=:\s"'])(?<=[=:]\s?["']?)(?<={_SECRET}\s?["']?)[A-Za-z0-9+/_-]{{8,}}|\b(?=[A-Fa-f]{{0,63}}\d)[0-9A-Fa-f]{{18,64}}\b""",
-    "name": rf"(?<!\p{{L}})(?:{_FORMS})\.? {_NAME}(?: {_NAME}){{0,2}}(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:(?:{_FORMS})\.? {_NAME}|{_SHORT}\.? \p{{L}}[\p{{L}}'’-]*\p{{L}})(?: {_NAME}){{0,2}}(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Whatever lacks this has no entity: a cheap first look.
-TRACE = rf"[0-9@]|[=:](?<={_SECRET})|(?:{_FORMS})\.? \p{{Lu}}"
+TRACE = rf"[0-9@]|[=:](?<={_SECRET})|(?:{_FORMS})\.? \p{{Lu}}|(?<!\p{{L}}){_SHORT}\.? \p{{L}}"
 
 _SYLLABLES = {
     "latin": ("ba", "be", "co", "da", "de", "fa", "go", "ha", "jo", "ka", "ke", "la", "le", "lo", "ma", "mi", "mo", "na", "ne", "no", "pa", "pe", "ra", "ri", "ro", "sa", "se", "ta", "te", "to", "va", "vi"),
@@ -107,9 +121,9 @@ def _syllables(script: str, places: range) -> str:
 
 def _name(script: str) -> str:
     """SQL for a name of a script: longer after the second draw, with the ending of its gender."""
-    ending = {"latin": ("n", "a", "ner"), "cyrillic": ("н", "а", "нко")}[script]
+    ending = {"latin": ("n", "a", "l", "ner"), "cyrillic": ("н", "а", "л", "нко")}[script]
     stem = f"CASE WHEN draw < 2 THEN {_syllables(script, range(1, 4))} ELSE {_syllables(script, range(1, 6))} END"
-    return f"initcap(concat({stem}, CASE kind WHEN 'given_m' THEN '{ending[0]}' WHEN 'given_f' THEN '{ending[1]}' ELSE '{ending[2]}' END))"
+    return f"concat({stem}, CASE kind WHEN 'given_m' THEN '{ending[0]}' WHEN 'given_f' THEN '{ending[1]}' WHEN 'given' THEN '{ending[2]}' ELSE '{ending[3]}' END)"
 
 
 def surrogate() -> str:
@@ -140,14 +154,14 @@ def _kind(value: Column) -> Column:
     fits = lambda pattern: value.rlike(pattern)
     return (
         F.when(value.contains("@"), "email")
-        .when(fits(rf"^(?:{_FORMS})\.? \p{{L}}"), "name")
+        .when(fits(rf"^(?:{_FORMS}|{_SHORT})\.? \p{{L}}"), "name")
         .when(fits(r"^(AKIA|ASIA)[A-Z0-9]{12,16}$"), "access")
         .when(fits(r"^(?=\d*[A-F])[0-9A-F]{8,64}$") & ~fits(HEX_IBAN), "secret")
         .when(fits(r"^[A-Z]{2}\d{2} ?[A-Z0-9]{4}"), "iban")
         .when(fits(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(fits(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(fits(r"^(\d{13,19}|\d{4}([ -]\d{4}){3})$"), "card")
-        .when(fits(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
+        .when(fits(r"^[+(]|^00[1-9]\d{0,2}[ .-]|^\d{3}[ .-]\d{3}[ .-]\d{4}$"), "phone")
         .otherwise("secret")
     )
 
@@ -155,26 +169,62 @@ def _kind(value: Column) -> Column:
 def _parts(value: Column, kind: Column) -> Column:
     """What of a value has a surrogate of its own: (kind, norm) in order; the words of a name apart."""
     words = F.split(value, " ")
-    gender = F.when(F.regexp_replace(words[0], r"\.$", "").isin(*MALE), "given_m").otherwise("given_f")
-    named = F.transform(F.slice(words, 2, 9), lambda w, i: F.struct(F.when(i == F.size(words) - 2, F.lit("surname")).otherwise(gender).alias("kind"), w.alias("norm")))
-    plain = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "phone", F.regexp_replace(value, r"[^0-9+]", "")).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when((kind == "secret") & value.rlike(HEX_SECRET), F.lower(value)).otherwise(value)
+    form = F.lower(F.regexp_replace(words[0], r"\.$", ""))
+    gender = F.when(form.isin(*(f.lower() for f in MALE)), "given_m").when(form.isin(*(f.lower() for f in FEMALE)), "given_f").otherwise("given")
+    named = F.transform(F.slice(words, 2, 9), lambda w, i: F.struct(F.when(i == F.size(words) - 2, F.lit("surname")).otherwise(gender).alias("kind"), F.lower(w).alias("norm")))
+    digits = F.regexp_replace(F.regexp_replace(value, "^00", "+"), r"[^0-9+]", "")
+    phone = F.when(digits.startswith("+"), digits).otherwise(F.concat(F.lit("+1"), digits))
+    plain = F.when(kind == "email", F.lower(value)).when(kind.isin("card", "ssn"), F.regexp_replace(value, r"\D", "")).when(kind == "phone", phone).when(kind == "iban", F.replace(value, F.lit(" "), F.lit(""))).when((kind == "secret") & value.rlike(HEX_SECRET), F.lower(value)).otherwise(value)
     return F.when(kind == "name", named).otherwise(F.array(F.struct(kind.alias("kind"), plain.alias("norm"))))
 
 
+def _counts(value: Column, kind: Column) -> Column:
+    """Whether a value that looks like an entity is taken for one: a card of other than 16 digits needs a fitting check digit."""
+    digits = F.regexp_replace(value, r"\D", "")
+    return (kind != "card") | (F.length(digits) == 16) | _luhn_fits(digits)
+
+
+def _luhn_fits(digits: Column) -> Column:
+    places = F.sequence(F.lit(0), F.length(digits) - 1)
+    digit = lambda i: F.substring(digits, F.length(digits) - i, F.lit(1)).cast("int")
+    total = F.aggregate(places, F.lit(0), lambda s, i: s + F.when(i % 2 == 0, digit(i)).when(digit(i) > 4, 2 * digit(i) - 9).otherwise(2 * digit(i)))
+    return total % 10 == 0
+
+
+def _cased(word: str, drawn: str) -> str:
+    """SQL for a name's surrogate in the case of the name."""
+    return f"CASE WHEN {word} = upper({word}) THEN upper({drawn}) WHEN {word} = lower({word}) THEN {drawn} ELSE initcap({drawn}) END"
+
+
 def _rendered(value: str, kind: str, drawn: str) -> str:
     """SQL for a value's surrogate in the value's own spelling, from its parts' surrogates in order."""
+    # of a phone number's surrogate, what the value spells: with + and country, with 00 and country, or without
+    whole = f"CASE WHEN {kind} <> 'phone' OR {value} like '+%' THEN {drawn}[0] WHEN {value} like '00%' THEN concat('00', substr({drawn}[0], 2)) ELSE substr({drawn}[0], 3) END"
     spelled = f"""aggregate(split({value}, ''), named_struct('out', '', 'at', 1), (s, c) ->
-        IF(c rlike '[0-9A-Za-z+]', named_struct('out', concat(s.out, substr({drawn}[0], s.at, 1)), 'at', s.at + 1), named_struct('out', concat(s.out, c), 'at', s.at)), s -> s.out)"""
+        IF(c rlike '[0-9A-Za-z+]', named_struct('out', concat(s.out, substr({whole}, s.at, 1)), 'at', s.at + 1), named_struct('out', concat(s.out, c), 'at', s.at)), s -> s.out)"""
     cased = f"array_join(transform(sequence(1, length({value})), i -> IF(substr({value}, i, 1) BETWEEN 'A' AND 'Z', upper(substr({drawn}[0], i, 1)), substr({drawn}[0], i, 1))), '')"
-    return f"CASE WHEN {kind} = 'name' THEN concat_ws(' ', concat(array(split({value}, ' ')[0]), {drawn})) WHEN {kind} IN ('card', 'ssn', 'phone', 'iban') THEN {spelled} WHEN {kind} = 'secret' THEN {cased} ELSE {drawn}[0] END"
+    named = f"concat_ws(' ', concat(array(split({value}, ' ')[0]), transform({drawn}, (d, i) -> {_cased(f"split({value}, ' ')[i + 1]", 'd')})))"
+    return f"CASE WHEN {kind} = 'name' THEN {named} WHEN {kind} IN ('card', 'ssn', 'phone', 'iban') THEN {spelled} WHEN {kind} = 'secret' THEN {cased} ELSE {drawn}[0] END"
+
 
+def keyed_hash(message: Column, key: str) -> Column:
+    """HMAC-SHA-512 as 128 hexadecimal digits."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 512))), 512)
 
-def draw_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """Rows (kind, norm, surrogate) for distinct (kind, norm): no two alike within a kind, none an original."""
+
+def draw_surrogates(entities: DataFrame, key: str = KEY, most_draws: int = MOST_DRAWS) -> DataFrame:
+    """Rows (kind, norm, surrogate) for distinct (kind, norm): no two alike within a kind, none an original.
+
+    Entities that clash after most_draws draws, their format being full, get one another's normal forms in turn
+    within a format; these are nobody else's surrogates. One alone in its format is blanked.
+    """
     now = entities.withColumn("draw", F.lit(0))
     originals = cut(entities.select(F.col("kind").alias("kind"), F.col("norm").alias("surrogate")))
-    for _ in range(MOST_DRAWS):
-        hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "norm", "draw"), 512)
+    for nth in range(most_draws):
+        hashed = keyed_hash(F.concat_ws("\x1f", "kind", "norm", "draw"), key)
         drawn = now.withColumn("h", hashed).withColumn("surrogate", F.expr(surrogate())).select("kind", "norm", "draw", "surrogate")
         among = Window.partitionBy("kind", "surrogate").orderBy("draw", "norm")
         taken = originals.withColumn("taken", F.lit(True))
@@ -182,22 +232,45 @@ def draw_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         now = cut(ranked.withColumn("clash", F.col("taken").isNotNull() | (F.col("nth") > 1)).drop("taken", "nth"))
         if not now.agg(F.max("clash").alias("any")).first()["any"]:
             return now.select("kind", "norm", "surrogate")
-        now = now.select("kind", "norm", (F.col("draw") + F.col("clash").cast("int")).alias("draw"))
-    raise RuntimeError(f"surrogates still clash after {MOST_DRAWS} draws")
+        if nth < most_draws - 1:
+            now = now.select("kind", "norm", (F.col("draw") + F.col("clash").cast("int")).alias("draw"))
+    left = now.where("clash").withColumn("format", F.regexp_replace(F.regexp_replace("norm", r"\d", "0"), r"\p{L}", "x"))
+    turn = Window.partitionBy("kind", "format").orderBy(keyed_hash(F.concat_ws("\x1f", "kind", "norm"), key), "norm")
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = F.coalesce(F.lead("norm").over(turn), F.first("norm").over(whole))
+    rest = left.select("kind", "norm", F.when(moved == F.col("norm"), F.col("format")).otherwise(moved).alias("surrogate"))
+    return cut(now.where("NOT clash").select("kind", "norm", "surrogate").union(rest))
+
+
+#: Words of a text, and what is between them.
+_TOKEN = r"[\p{L}'’-]+|[^\p{L}'’-]+"
+
+
+def _bare(map_: Column) -> Column:
+    """Pairs (word, new) for a text's names, as they are and in capitals, from its map of found values."""
+    names = F.filter(F.map_entries(map_), lambda e: e["key"].rlike(rf"^(?:{_FORMS}|{_SHORT})\.? \p{{L}}"))
+    words = lambda value: F.slice(F.split(value, " "), 2, 9)
+    pairs = F.flatten(F.transform(names, lambda e: F.zip_with(words(e["key"]), words(e["value"]), lambda w, n: F.struct(F.initcap(w).alias("word"), F.initcap(n).alias("new")))))
+    long = F.filter(pairs, lambda p: F.length(p["word"]) >= LEAST_BARE)
+    both = F.array_sort(F.concat(long, F.transform(long, lambda p: F.struct(F.upper(p["word"]).alias("word"), F.upper(p["new"]).alias("new")))))
+    # a word under two forms of address has the surrogate that comes first
+    return F.map_from_entries(F.filter(both, lambda p, i: (i == 0) | (F.get(both, i - 1)["word"] != p["word"])))
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str | None = None) -> DataFrame:
     """The documents with surrogates in place of entities, and n_entities, how many were replaced.
 
-    All columns stay; n_chars follows the text where the table has it.
+    All columns stay; n_chars follows the text where the table has it. A table's own n_entities stays as it is.
     """
+    key = key or docs.sparkSession.conf.get("spark.blockloom.surrogateKey", KEY)
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("__text"))
     traced = F.coalesce(F.col("__text").rlike(TRACE), F.lit(False))
     found = F.regexp_extract_all("__text", F.lit(ENTITY), F.lit(0))
     suspects = packed.where(traced).withColumn("found", found).withColumn("text_key", F.when(F.size("found") > 0, F.md5("__text")))
     values = cut(suspects.select("text_key", F.explode(F.array_distinct("found")).alias("value")).distinct())
-    parted = values.select("text_key", "value", _kind(F.col("value")).alias("type")).withColumn("part", _parts(F.col("value"), F.col("type")))
+    typed = values.select("text_key", "value", _kind(F.col("value")).alias("type"))
+    parted = typed.where(_counts(F.col("value"), F.col("type"))).withColumn("part", _parts(F.col("value"), F.col("type")))
     drawn = draw_surrogates(parted.select(F.explode("part").alias("p")).select("p.kind", "p.norm").distinct(), key)
     spellings = parted.select("value", "type", F.posexplode("part").alias("at", "p")).select("value", "type", "at", "p.kind", "p.norm").distinct()
     rendered = (
@@ -206,10 +279,16 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surrogate"))), lambda s: s["surrogate"]).alias("drawn"))
         .select("value", F.expr(_rendered("value", "type", "drawn")).alias("new"))
     )
-    by_text = values.join(rendered, "value").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("map"))
-    between = F.split("__text", ENTITY, -1)
-    new_text = F.array_join(F.zip_with(between, "found", lambda gap, value: F.concat(gap, F.coalesce(F.col("map")[value], value, F.lit("")))), "")
-    hit = suspects.where(F.size("found") > 0).join(by_text, "text_key").select("row", new_text.alias("__text"), F.size("found").cast("long").alias("__n"))
+    by_text = values.join(rendered, "value", "left").groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.when(F.col("new").isNotNull(), F.struct("value", "new")))).alias("map"))
+    by_text = by_text.withColumn("bare", _bare(F.col("map")))
+    new_text = lambda gap: F.array_join(F.zip_with("gaps", "found", lambda g, value: F.concat(gap(g), F.coalesce(F.col("map")[value], value, F.lit("")))), "")
+    tokens = lambda g: F.regexp_extract_all(g, F.lit(_TOKEN), F.lit(0))
+    renamed = lambda g: F.array_join(F.transform(tokens(g), lambda t: F.coalesce(F.col("bare")[t], t)), "")
+    with_names = F.size("bare") > 0
+    repeats = F.aggregate("gaps", F.lit(0).cast("long"), lambda n, g: n + F.size(F.filter(tokens(g), lambda t: F.col("bare")[t].isNotNull())))
+    replaced = F.size(F.filter("found", lambda v: F.col("map")[v].isNotNull())).cast("long")
+    joined = suspects.where(F.size("found") > 0).join(by_text, "text_key").withColumn("gaps", F.split("__text", ENTITY, -1))
+    hit = joined.select("row", F.when(with_names, new_text(renamed)).otherwise(new_text(lambda g: g)).alias("__text"), (replaced + F.when(with_names, repeats).otherwise(0)).alias("__n"))
     rest = packed.where(~traced).select("row", "__text", F.lit(0).cast("long").alias("__n")).union(suspects.where(F.size("found") == 0).select("row", "__text", F.lit(0).cast("long")))
     changed = {"text": F.col("__text"), "n_chars": F.coalesce(F.when(F.col("__n") > 0, F.char_length("__text")), F.col("row.n_chars") if "n_chars" in names else F.lit(None)).cast("long")}
     return hit.union(rest).select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in names), *([] if "n_entities" in names else [F.col("__n").alias("n_entities")]))

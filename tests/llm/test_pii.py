@@ -1,3 +1,4 @@
+import hmac
 import re
 import zlib
 
@@ -54,7 +55,7 @@ def test_same_shapes_distinct_and_the_rest_untouched(spark):
 
 
 def test_clashes_are_drawn_again(spark):
-    entities = spark.range(3000).select(F.lit("given_f").alias("kind"), F.concat(F.lit("Name"), "id").alias("norm"))
+    entities = spark.range(3000).select(F.lit("given_f").alias("kind"), F.concat(F.lit("name"), "id").alias("norm"))
     drawn = pii.draw_surrogates(entities).collect()
     assert len({r.surrogate for r in drawn}) == len(drawn) == 3000
     assert all(r.surrogate.endswith("a") for r in drawn)
@@ -72,6 +73,60 @@ def test_spellings_gender_and_script(spark):
     assert re.fullmatch(r"Г-жа [А-Яа-я]+а [А-Яа-я]+; card \d{4} \d{4} \d{4} \d{4} = \d{16}", second)
 
 
+def test_names_in_other_places_and_cases(spark):
+    texts = [
+        "Mr John Smith came. Later Smith called, and John said: SMITH is no smith. Johnson wasn't there.",
+        "Dr. Maria Lopez met Prof. Wei Chen; Lopez left. Mr. JOHN SMITH, mr john, DR LOPEZ",
+        "Smith and Lopez without any form",
+    ]
+    first, second, third = scrub(spark, *texts)
+    given, sur = re.match(r"Mr (\w+) (\w+) came", first).groups()
+    assert first == f"Mr {given} {sur} came. Later {sur} called, and {given} said: {sur.upper()} is no smith. Johnson wasn't there."
+    assert {given, sur}.isdisjoint({"John", "Smith"})
+    maria, lopez, wei, chen = re.match(r"Dr\. (\w+) (\w+) met Prof\. (\w+) (\w+);", second).groups()
+    assert second.split("; ")[1].startswith(f"{lopez} left. Mr. {given.upper()} {sur.upper()}, mr ") and second.endswith(f"DR {lopez.upper()}")
+    assert not re.search("(?i)maria|lopez|chen|john|smith", second) and third == texts[2]
+    counts = [r.n_entities for r in pii.replace_pii(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert counts == [4, 6, 0]
+
+
+def test_phone_numbers_have_one_form(spark):
+    (out,) = scrub(spark, "+1 415-555-0134, 415-555-0134, (415) 555-0134, 001 415 555 0134; +44 20 7946 0958 and 0044 20 7946 0958")
+    a, b, c, d, e, f = re.match(r"\+1 (\S+), (\S+), (\(\d+\) \S+), 001 ([\d ]+); \+(44[\d ]+) and 00([\d ]+)$", out).groups()
+    digits = [re.sub(r"\D", "", x) for x in (a, b, c, d)]
+    assert len(set(digits)) == 1 and digits[0] != "4155550134" and e == f != "44 20 7946 0958"
+
+
+def test_what_only_looks_like_an_entity_stays(spark):
+    texts = ["order 1234567890123 of version 1.2.3.4 and v2.0.0.1", "card 4222222222222 from 9.8.7.6"]
+    out = scrub(spark, *texts)
+    assert out[0] == texts[0] and re.fullmatch(r"card \d{13} from \d+\.\d+\.\d+\.\d+", out[1]) and out[1] != texts[1]
+    assert luhn(re.search(r"\d{13}", out[1])[0])
+
+
+def test_a_full_format_still_gets_distinct_surrogates(spark):
+    entities = spark.range(1000).select(F.lit("iban").alias("kind"), F.format_string("X0%03d", "id").alias("norm")).union(spark.createDataFrame([("iban", "X0")], "kind string, norm string"))
+    drawn = {r.norm: r.surrogate for r in pii.draw_surrogates(entities, most_draws=3).collect()}
+    assert len(drawn) == len(set(drawn.values())) == 1001 and all(a != b and len(a) == len(b) for a, b in drawn.items())
+
+
+def test_keyed_hash_is_the_standard_one(spark):
+    for key in ("k", "long " * 40):
+        got = spark.range(1).select(pii.keyed_hash(F.lit("a message"), key)).first()[0]
+        assert got == hmac.new(key.encode(), b"a message", "sha512").hexdigest()
+    one, other = (pii.replace_pii(frame(spark, ["a@b.example.com"]), key).first().text for key in ("a", "b"))
+    assert one != other
+
+
+def test_null_and_repeated_rows(spark):
+    text = "Mr John Smith, 10.0.0.1"
+    rows = [(None, text), (None, text), (1, text), (1, text), (1, None), (1, "plain")]
+    got = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 6 and len({r.text for r in got if r.n_entities}) == 1 and sorted(r.n_entities for r in got) == [0, 0, 2, 2, 2, 2]
+    own = pii.replace_pii(spark.createDataFrame([(1, text, 7)], "doc_id long, text string, n_entities int")).first()
+    assert own.n_entities == 7 and own.text != text
+
+
 def test_documents_keep_everything_else(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before, after = ({r.doc_id: r for r in d.collect()} for d in (docs, pii.replace_pii(docs)))
