@@ -36,7 +36,7 @@ _TYPES = {
     "Read": _BYTES,
 }
 #: The functions' objects by application; sessions of one application share them.
-_OBJECTS: dict[str, dict] = {}
+_OBJECTS: dict[str, tuple] = {}
 #: No limit to a payload's size.
 NO_LIMIT = (1 << 63) - 1
 
@@ -45,7 +45,8 @@ def _sql_name(kind: str) -> str:
     return "blockloom_" + kind.lower()
 
 
-def _compiled(spark: SparkSession) -> dict:
+def _compiled(spark: SparkSession) -> tuple:
+    """The maker of functions, and their objects by class."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     folder = tempfile.mkdtemp(prefix="blockloom-kernels-")
     classes = {}
@@ -66,7 +67,8 @@ def _compiled(spark: SparkSession) -> dict:
     spark.sql(f"ADD JAR '{jar}'")
     known = jvm.java.lang.Thread.currentThread().getContextClassLoader()
     none = gateway.new_array(jvm.java.lang.Object, 0)
-    return {kind: known.loadClass(f"blockloom.Functions${kind}").getDeclaredConstructors()[0].newInstance(none) for kind in _TYPES}
+    made = lambda kind: known.loadClass(f"blockloom.Functions${kind}").getDeclaredConstructors()[0].newInstance(none)
+    return made("Maker"), {kind: made(kind) for kind in _TYPES}
 
 
 def install(spark: SparkSession) -> None:
@@ -76,9 +78,10 @@ def install(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app not in _OBJECTS:
         _OBJECTS[app] = _compiled(spark)
-    for kind, made in _OBJECTS[app].items():
+    maker, objects = _OBJECTS[app]
+    for kind, made in objects.items():
         result = spark._jsparkSession.parseDataType(_parse_datatype_string(_TYPES[kind]).json())
-        spark._jsparkSession.udf().register(_sql_name(kind), made, result)
+        spark._jsparkSession.udf().register(_sql_name(kind), maker.make(made, result))
 
 
 def ready(df: DataFrame) -> DataFrame:
