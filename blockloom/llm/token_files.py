@@ -13,38 +13,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import kernels
 from ..session import shuffle_partitions
-from .common import pieces, utf8
+from .common import pieces, utf8, word_hashes
 
 #: The separator, as an id and as the text source writes it.
 END_ID, END_TEXT = 0x0A0A, "\n\n"
 ID_BYTES, PAD_ID = 2, 0xFFFF
 #: Bytes of a file that writers aim at.
 SHARD_BYTES = 64 << 20
-#: Word hashes a task keeps.
-KEPT_WORDS = 500_000
 
 
-class HashTokenizer:
-    """One id a word: a hash, without the separator's value. Needs no vocabulary."""
-
-    def __init__(self) -> None:
-        self.id_of: dict[bytes, int] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        if len(self.id_of) > KEPT_WORDS:
-            self.id_of.clear()
-        words, id_of = text.split(), self.id_of
-        for word in words:
-            if word not in id_of:
-                found = xxhash.xxh3_64_intdigest(word) % (PAD_ID - 1)
-                id_of[word] = found + (found >= END_ID)
-        return np.fromiter(map(id_of.__getitem__, words), "<u2", len(words))
+def hash_tokens(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text one id a word: a hash, without the values of separator and padding. Needs no vocabulary."""
+    hashes, at = word_hashes(np.frombuffer(b" ".join(texts), np.uint8))
+    ids = hashes % np.uint64(PAD_ID - 1)
+    ids = (ids + (ids >= END_ID)).astype("<u2")
+    ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in texts]))
+    return np.split(ids, ends[:-1]) if texts else []
 
 
 def token_rows(docs: DataFrame, more: str = "") -> DataFrame:
@@ -53,9 +42,8 @@ def token_rows(docs: DataFrame, more: str = "") -> DataFrame:
     fields = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = HashTokenizer()
-        for batch in pieces(batches, "text"):
-            ids = [tokenizer(t) for t in utf8(batch.column("text"))]
+        for batch in pieces(batches, "text", 1 << 20):
+            ids = hash_tokens(utf8(batch.column("text")))
             columns = [batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array([len(i) for i in ids], pa.int64()), *(batch.column(c) for c in kept)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "n_tokens", *kept])
 

@@ -160,4 +160,5 @@ def ordered_sequences(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     path = path or shared_path(spark, "order")
     written, per_shard = materialise(docs, path)
-    return written.join(read_slots(spark, path, per_shard).select("slot", "n_tokens"), "slot").select("doc_id", "seq_no", "slot", "n_tokens")
+    read = read_slots(spark, path, per_shard).select("slot", "n_tokens").hint("merge")  # a listing of files looks small, what is in them isn't
+    return written.join(read, "slot").select("doc_id", "seq_no", "slot", "n_tokens")

@@ -185,8 +185,7 @@ def test_shards_hold_every_sequence_in_order(spark, tmp_path):
     placed = {r.slot: r for r in written.collect()}
     read = {r.slot: r for r in training_order.read_slots(spark, f"file://{tmp_path}/order", per_shard).collect()}
     assert sorted(placed) == sorted(read) == list(range(len(read)))
-    tokenizer, total = token_files.HashTokenizer(), 0
-    pieces = Counter(r.tobytes() for t in TEXTS for r in training_order.cut_sequences(tokenizer((t or "").encode())))
+    pieces = Counter(r.tobytes() for ids in token_files.hash_tokens([(t or "").encode() for t in TEXTS]) for r in training_order.cut_sequences(ids))
     assert Counter(bytes(r.ids) for r in read.values()) == pieces
     total = sum(len(split(t)) + 1 for t in TEXTS)
     assert sum(r.n_tokens for r in read.values()) == total
