@@ -1,13 +1,19 @@
 """Near-duplicates by the similarity of their sets of word shingles (the pipeline's stage; operator 2 has its own contract).
 
 Two texts link where their sets of 5-word shingles have a Jaccard similarity of 0.8 or more, counted on
-the whole sets. A 64-bit SimHash can't find such pairs: they differ in about 10 bits, and in any number up
-to 20. Candidates are texts that share one of 16 keys of 4 least hashes each; a pair at 0.8 shares one with
-probability 0.9998, a pair at 0.9 with 1 - 1e-7. Equal sets are one node from the start.
+the whole sets. Equal sets are one node from the start.
 
-The members of a key are compared in one task, by a spanning forest. What two keys have linked isn't
-compared again under the other 14. A key with more than `BUCKET` members is dealt over blocks that share
-some members; then whatever is outside the key's largest component meets every block, so no pair is left out.
+1. Fingerprints: each set has `PRINTS` 64-bit SimHash fingerprints, each of hashes of its own. Fingerprints
+   that share one of operator 2's Golay-code keys and differ in at most `DISTANCE` bits are linked by that
+   operator; sets that hang together by such links, or by equal fingerprints, are compared in one task.
+2. Sets at 0.8 differ in about 10 bits of 64, and in any number up to 20, so that Golay keys miss some pairs.
+   These are met by 16 keys of 4 least hashes each: a pair at 0.8 shares one with probability 0.9998, a pair
+   at 0.9 with 1 - 1e-7. What the fingerprints have linked isn't compared again, nor under the other 14 keys
+   what two have.
+
+The members of a key are compared in one task, by a spanning forest. A key with more than `BUCKET` members
+is dealt over blocks that share some members; then, under least hashes, whatever is outside the key's largest
+component meets every block, so no pair is left out.
 
 Cases as for operator 2: null, empty and wordless texts have the empty set and are alike; under five words
 the whole sequence is the one shingle; null doc_id never names a component unless all of it are null.
@@ -16,6 +22,7 @@ the whole sequence is the one shingle; null doc_id never names a component unles
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import release, shuffle_partitions
 from .common import cut, utf8
 from .components import connected_components
-from .simhash import row_key, shingle_hashes
+from .simhash import fingerprint_links, print_of, row_key, shingle_hashes
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
+#: Fingerprints of a set, and the bits in which linked ones may differ.
+PRINTS, DISTANCE = 2, 12
 BANDS, ROWS = 16, 4
 #: Bands whose links are found first.
 FIRST = 2
@@ -38,6 +47,7 @@ FIRST = 2
 BUCKET, HUBS = 256, 16
 _DRAW = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
 _TIMES, _PLUS = _DRAW[0] << np.uint64(1) | np.uint64(1), _DRAW[1]
+_SALTS = np.random.default_rng(6).integers(0, 1 << 63, PRINTS, dtype=np.uint64)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -45,6 +55,16 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprints (uint64) of a set, the first of its hashes as they are."""
+    out = [print_of(hashes)]
+    for salt in _SALTS[1:]:
+        mixed = (hashes ^ salt) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+        out.append(print_of(mixed ^ mixed >> np.uint64(29)))
+    return np.array(out, np.uint64)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """One key (uint64) for each band of least hashes."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
@@ -68,13 +88,14 @@ def alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        nodes, keys = [], []
+        nodes, prints, keys = [], [], []
         for text in utf8(batch.column("text")):
             hashes = shingle_set(text)
             nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
+            prints.append(fingerprints(hashes).view(np.int64))
             keys.append(band_keys(hashes).view(np.int64))
-        rows = pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), rows], ["doc_id", "row_key", "node", "keys"])
+        lists = [pa.ListArray.from_arrays(np.arange(len(nodes) + 1, dtype=np.int32) * n, pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x, n in ((prints, PRINTS), (keys, BANDS))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), *lists], ["doc_id", "row_key", "node", "prints", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +135,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """Members (key, node, root, n) of groups of nodes (node, prints) that hang together by their fingerprints."""
+    links = []
+    for i in range(PRINTS):
+        placed = nodes.select("node", F.col("prints")[i].alias("fp"))
+        first = cut(placed.groupBy("fp").agg(F.min("node").alias("first")))
+        close = fingerprint_links(first.select("fp"), DISTANCE).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+        equal = placed.join(first, "fp").where("node <> first").select("node", "first")
+        links.append(cut(close.select("x", "y").union(equal)))
+        del first, close, equal
+        release(nodes.sparkSession)
+    groups = cut(connected_components(reduce(DataFrame.union, links).toDF("a", "b")).toDF("node", "key"))
+    counts = groups.groupBy("key").agg(F.count("*").alias("n"))
+    return groups.join(counts, "key").withColumn("root", F.col("node"))
+
+
 def _linked(tasks: DataFrame, sets: DataFrame) -> DataFrame:
     parts = shuffle_partitions(sets.sparkSession)
     dealt = tasks.select("key", "block", "node", "root").join(sets, "node").repartition(parts, "key", "block").sortWithinPartitions("key", "block")
@@ -161,20 +198,25 @@ def _across(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, row_key, node, root, component_id): the shingle set's hash, and the least doc_id within reach."""
     spark = docs.sparkSession
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key string, node long, keys array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key string, node long, prints array<long>, keys array<long>"
     sketched = cut(docs.select("doc_id", "text", row_key(docs).alias("row_key")).mapInArrow(_sketches, schema))
-    nodes = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("keys").alias("keys")))
+    nodes = cut(sketched.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.first("prints").alias("prints"), F.first("keys").alias("keys")))
     keyed = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut(keyed.join(shared, "key"))
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "row_key"), "node")
+    grouped = cut(_grouped(nodes.select("node", "prints")))
+    release(spark)
+    wanted = buckets.select("node").union(grouped.select("node")).distinct().join(nodes.select("node", "row_key"), "node")
     texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["row_key"])
     sets = cut(texts.select("node", "text").mapInArrow(_sets, "node long, hashes binary"))
-    edges = cut(_linked(_blocks(buckets.where(F.col("band") < FIRST).withColumn("root", F.col("node"))), sets))
-    edges = cut(edges.union(_linked(_blocks(_unsettled(buckets.where(F.col("band") >= FIRST), edges)), sets)))
+    edges = cut(_linked(_blocks(grouped), sets))
+    for some in (F.col("band") < FIRST, F.col("band") >= FIRST):
+        release(spark)
+        edges = cut(edges.union(_linked(_blocks(_unsettled(buckets.where(some), edges)), sets)))
     full = buckets.where(F.col("n") > BUCKET)
     if not full.isEmpty():
         edges = cut(edges.union(_linked(_across(_unsettled(full, edges)), sets)))
+    release(spark)
     roots = connected_components(edges)
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))

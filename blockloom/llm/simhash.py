@@ -22,6 +22,7 @@ null. Repeated rows: each stays, in the same component. Empty table: no rows. Ot
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,11 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """The 64-bit SimHash of a UTF-8 text, unsigned."""
-    hashes = shingle_hashes(text, width)
+    return print_of(shingle_hashes(text, width))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of some hashes: a bit is 1 where more than half of them have it."""
     if not len(hashes):
         return 0
     counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _PLACE).ravel(), minlength=2048).reshape(8, 256) @ _BIT_OF_BYTE
@@ -101,18 +106,18 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[places])], ["key", "fp"])
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+def _close(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b) <= distance
 
 
-def _forest(prints: np.ndarray) -> tuple[list, list]:
+def _forest(prints: np.ndarray, distance: int) -> tuple[list, list]:
     """Links of a spanning forest of the closeness graph of some distinct fingerprints."""
     left, right, rest = [], [], prints
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = _close(rest, at)
+            near = _close(rest, at, distance)
             if near.any():
                 found, rest = rest[near], rest[~near]
                 left.extend([at] * len(found))
@@ -121,7 +126,7 @@ def _forest(prints: np.ndarray) -> tuple[list, list]:
     return left, right
 
 
-def _links_in_order(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _links_in_order(keys: np.ndarray, prints: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among fingerprints of equal keys; keys are sorted, and none has over BUCKET rows."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
@@ -131,18 +136,18 @@ def _links_in_order(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, n
     for apart in range(1, 16):
         if len(k) <= apart:
             break
-        same = (k[apart:] == k[:-apart]) & _close(p[apart:], p[:-apart])
+        same = (k[apart:] == k[:-apart]) & _close(p[apart:], p[:-apart], distance)
         left.append(p[:-apart][same])
         right.append(p[apart:][same])
     for start, size in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
-        a, b = _forest(prints[start : start + size])
+        a, b = _forest(prints[start : start + size], distance)
         left.append(np.array(a, np.uint64))
         right.append(np.array(b, np.uint64))
     a, b = np.concatenate(left or [prints[:0]]), np.concatenate(right or [prints[:0]])
     return np.maximum(a, b), np.minimum(a, b)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], distance: int = DISTANCE) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of rows sorted by key; a fingerprint under an overfull key goes out as (a, null)."""
     seen: set[tuple[int, int]] = set()
     held_k, held_p, full = np.zeros(0, np.int64), np.zeros(0, np.uint64), None
@@ -157,7 +162,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = np.repeat(sizes > BUCKET, sizes)
         if over.any():
             yield rows(np.unique(prints[over]), None)
-        a, b = _links_in_order(keys[~over], prints[~over])
+        a, b = _links_in_order(keys[~over], prints[~over], distance)
         fresh = [pair for pair in dict.fromkeys(zip(a.tolist(), b.tolist(), strict=True)) if pair not in seen]
         if len(seen) < 1_000_000:
             seen.update(fresh)
@@ -218,20 +223,27 @@ def row_key(docs: DataFrame) -> Column:
     return F.md5(F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.coalesce(docs["text"], F.lit(""))))
 
 
+def fingerprint_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Links (a, b) among distinct fingerprints `fp` that share a key and differ in at most `distance` bits, up to components.
+
+    All that differ in DISTANCE bits share a key; of those that differ in more, some do.
+    """
+    keyed = prints.mapInArrow(_key_rows, "key long, fp long")
+    dealt = keyed.repartition(shuffle_partitions(prints.sparkSession), "key").sortWithinPartitions("key")
+    found = cut(dealt.mapInArrow(partial(_links, distance=distance), "a long, b long").distinct())
+    links, full = found.where("b is not null"), found.where("b is null").select("a")
+    return links if full.isEmpty() else links.union(ball_links(full))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, row_key, fp, root, component_id): fingerprint as a long, and the least doc_id within reach.
 
     row_key is a hash of doc_id and text; root is the least fingerprint of the component.
     """
-    spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key string, fp long"
     prints = cut(docs.select("doc_id", "text", row_key(docs).alias("row_key")).mapInArrow(_fingerprints, schema))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    keyed = nodes.select("fp").mapInArrow(_key_rows, "key long, fp long")
-    dealt = keyed.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(_links, "a long, b long").distinct())
-    edges = found.where("b is not null").union(ball_links(found.where("b is null").select("a")))
-    roots = connected_components(edges)
+    roots = connected_components(fingerprint_links(nodes.select("fp")))
     joined = nodes.join(roots.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = joined.join(names, "root").select("fp", "root", "component_id")

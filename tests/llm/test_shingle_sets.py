@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from blockloom.llm import shingle_sets
 from corpus_pipeline import drop_near_duplicates
@@ -56,6 +59,29 @@ def test_stage_drops_pairs_that_simhash_of_three_bits_misses(spark):
     assert kept == set(range(0, 80, 2))
 
 
+def test_fingerprints_alone_link_most_pairs(spark, monkeypatch):
+    """Without the keys of least hashes, SimHash fingerprints and Golay keys bring pairs to the exact check."""
+    monkeypatch.setattr(shingle_sets, "FIRST", 0)
+    monkeypatch.setattr(shingle_sets, "_unsettled", lambda members, edges: members.withColumn("root", F.col("node")).where(F.lit(False)))
+    rng = random.Random(1)
+    texts = []
+    for i in range(80):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(words), edited(rng, words, 1 if i < 40 else 3)]  # similarity 0.95; 0.86 or more
+    kept = {r.doc_id for r in drop_near_duplicates(spark, frame(spark, texts), None).collect()}
+    assert kept >= set(range(0, 160, 2))
+    assert sum(i not in kept for i in range(1, 80, 2)) >= 28 and sum(i not in kept for i in range(81, 160, 2)) >= 12
+
+
+def test_fingerprints_are_majorities_of_shingle_hashes():
+    text = "A b c d e f g h a b c d e f g h"
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in brute_set(text)]
+    prints = shingle_sets.fingerprints(shingle_sets.shingle_set(text.encode())).tolist()
+    assert prints[0] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert len(set(prints)) == shingle_sets.PRINTS
+    assert not shingle_sets.fingerprints(np.zeros(0, np.uint64)).any()
+
+
 def test_matches_brute_force_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()

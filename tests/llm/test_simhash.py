@@ -120,3 +120,17 @@ def test_dense_groups_with_and_without_the_second_way(spark, monkeypatch, bucket
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
     got = [roots.get(x, x) for x in signed]
     assert len({*zip(wanted, got, strict=True)}) == len(set(wanted)) == len(set(got))
+
+
+def test_links_of_a_wider_distance(spark):
+    rng = random.Random(4)
+    centers = [rng.getrandbits(64) for _ in range(30)]
+    prints = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for c in centers for _ in range(8)}
+    signed = np.array(sorted(prints), np.uint64).view(np.int64).tolist()
+    wide, narrow = ([(r.a, r.b) for r in simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), d).collect()] for d in (12, 3))
+    bits = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    assert max(bits(a, b) for a, b in narrow) <= 3 < max(bits(a, b) for a, b in wide) <= 12
+    from blockloom.llm.components import connected_components
+
+    roots = {r.a: r.root for r in connected_components(spark.createDataFrame(wide, "a long, b long")).collect()}
+    assert all(roots[a] == roots[b] for a in signed for b in signed if a < b and bits(a, b) <= 3)
