@@ -1,30 +1,38 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Links and labels stay distributed; each step's edges are at most as many as before, and are kept in the
-shared folder. The driver sees two numbers a round.
+shared folder. A step deals its edges once, by the node whose neighbours move; what a round leaves on disk
+goes before the next. The driver sees two numbers a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import cut
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step over edges (a, b): each node's larger (or smaller) neighbours move to its least one."""
-    if large:
-        sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        sides = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _with_least(sides: DataFrame) -> DataFrame:
+    """Each row (a, b) with the least m of a and its neighbours; rows lie by a, so that this deals nothing again."""
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    moved = sides.join(least, "a")
-    if large:
-        moved = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = moved.select("b", "m").union(least.select("a", "m")).toDF("a", "b")
-    return moved.where("a <> b").distinct()
+    return sides.join(least.hint("merge"), "a")
+
+
+def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) of several pairs of columns, by one read of the rows."""
+    columns: list[Column] = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs]
+    return df.select(F.explode(F.array(*columns)).alias("e")).select("e.a", "e.b")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star and a small-star step over edges (a, b), a > b: neighbours above a node, then those below, move to its least one."""
+    sides = _each(edges, ("a", "b"), ("b", "a")).repartition("a")
+    # b > a; with m, which is at most a, the filter stays above the join, and both of its sides read one exchange
+    above = _with_least(sides).where("greatest(b, m) > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _with_least(above.repartition("a").distinct())
+    return _each(moved, ("b", "m"), ("a", "m")).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -36,5 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new_mark == mark or not new_mark["n"]:
             break
         mark = new_mark
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_round(now))
+        release(edges.sparkSession)
     return now.select("a", F.col("b").alias("root")).union(now.select("b", "b").distinct())

@@ -22,7 +22,6 @@ the whole sequence is the one shingle; null doc_id never names a component unles
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,16 +136,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _grouped(nodes: DataFrame) -> DataFrame:
     """Members (key, node, root, n) of groups of nodes (node, prints) that hang together by their fingerprints."""
-    links = []
-    for i in range(PRINTS):
-        placed = nodes.select("node", F.col("prints")[i].alias("fp"))
-        first = cut(placed.groupBy("fp").agg(F.min("node").alias("first")))
-        close = fingerprint_links(first.select("fp"), DISTANCE).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
-        equal = placed.join(first, "fp").where("node <> first").select("node", "first")
-        links.append(cut(close.select("x", "y").union(equal)))
-        del first, close, equal
-        release(nodes.sparkSession)
-    groups = cut(connected_components(reduce(DataFrame.union, links).toDF("a", "b")).toDF("node", "key"))
+    placed = nodes.select("node", F.explode("prints").alias("fp"))
+    first = cut(placed.groupBy("fp").agg(F.min("node").alias("first")))
+    close = fingerprint_links(first.select("fp"), DISTANCE).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    equal = placed.join(first, "fp").where("node <> first").select("node", "first")
+    groups = cut(connected_components(close.select("x", "y").union(equal).toDF("a", "b")).toDF("node", "key"))
     counts = groups.groupBy("key").agg(F.count("*").alias("n"))
     return groups.join(counts, "key").withColumn("root", F.col("node"))
 
@@ -157,14 +151,18 @@ def _linked(tasks: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "a long, b long").distinct()
 
 
-def _unsettled(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members (key, node, n) of keys that still have several components, each with its root."""
-    roots = connected_components(edges).withColumnRenamed("a", "node")
-    named = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    named = cut(members.join(roots.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     return named.join(mixed, "key")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (a, root) with more links (a, b): those found go in as stars, which takes fewer rounds than all links."""
+    return connected_components(roots.toDF("a", "b").union(links))
+
+
 def _parted(members: DataFrame) -> DataFrame:
     """With the number of blocks of the key and the member's own block."""
     parts = F.ceil(F.col("n") / BUCKET).cast("long")
@@ -209,15 +207,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = buckets.select("node").union(grouped.select("node")).distinct().join(nodes.select("node", "row_key"), "node")
     texts = docs.select(row_key(docs).alias("row_key"), "text").join(wanted, "row_key").dropDuplicates(["row_key"])
     sets = cut(texts.select("node", "text").mapInArrow(_sets, "node long, hashes binary"))
-    edges = cut(_linked(_blocks(grouped), sets))
+    roots = connected_components(_linked(_blocks(grouped), sets))
     for some in (F.col("band") < FIRST, F.col("band") >= FIRST):
         release(spark)
-        edges = cut(edges.union(_linked(_blocks(_unsettled(buckets.where(some), edges)), sets)))
+        roots = _joined(roots, _linked(_blocks(_unsettled(buckets.where(some), roots)), sets))
     full = buckets.where(F.col("n") > BUCKET)
     if not full.isEmpty():
-        edges = cut(edges.union(_linked(_across(_unsettled(full, edges)), sets)))
+        release(spark)
+        roots = _joined(roots, _linked(_across(_unsettled(full, roots)), sets))
     release(spark)
-    roots = connected_components(edges)
     joined = nodes.select("node", "least").join(roots.withColumnRenamed("a", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = joined.join(names, "root").select("node", "root", "component_id")
