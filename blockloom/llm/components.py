@@ -1,38 +1,31 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Links and labels stay distributed; each step's edges are at most as many as before, and are kept in the
-shared folder. A step deals its edges once, by the node whose neighbours move; what a round leaves on disk
-goes before the next. The driver sees two numbers a round.
+shared folder. What a round leaves on disk goes before the next. The driver sees two numbers a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import release
 from .common import cut
 
 
-def _with_least(sides: DataFrame) -> DataFrame:
-    """Each row (a, b) with the least m of a and its neighbours; rows lie by a, so that this deals nothing again."""
-    least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return sides.join(least.hint("merge"), "a")
-
-
-def _each(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """Rows (a, b) of several pairs of columns, by one read of the rows."""
-    columns: list[Column] = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs]
-    return df.select(F.explode(F.array(*columns)).alias("e")).select("e.a", "e.b")
-
-
 def _round(edges: DataFrame) -> DataFrame:
-    """A large-star and a small-star step over edges (a, b), a > b: neighbours above a node, then those below, move to its least one."""
-    sides = _each(edges, ("a", "b"), ("b", "a")).repartition("a")
-    # b > a; with m, which is at most a, the filter stays above the join, and both of its sides read one exchange
-    above = _with_least(sides).where("greatest(b, m) > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    moved = _with_least(above.repartition("a").distinct())
-    return _each(moved, ("b", "m"), ("a", "m")).where("a <> b").distinct()
+    """A large-star and a small-star step over distinct edges (a, b), a > b.
+
+    A node's least neighbour is below it, or else it is itself the least; so the large step needs no edge in
+    both directions: a goes to the least below b, or to b. In the small step b goes to the least below a.
+    """
+    below = edges.groupBy("a").agg(F.min("b").alias("m"))
+    large = edges.join(below.withColumnRenamed("a", "b").hint("merge"), "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+    large = large.repartition("a").distinct()
+    below = large.groupBy("a").agg(F.min("b").alias("m"))
+    moved = large.join(below.hint("merge"), "a")
+    both = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))
+    return moved.select(F.explode(both).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
