@@ -80,6 +80,16 @@ def test_verify_never_raises(spark):
     assert errors[0] is None and all(errors[i] for i in range(1, 6))
 
 
+def test_invariance_is_checked_in_many_tasks(spark, sf_dir):
+    query = queries.partition_invariance(spark, sf_dir)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.count("REPARTITION_BY_NUM") >= 2
+    docs = stages.binary_stream(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").limit(40)
+    blocks = stages.split_blocks(docs, 4096)
+    one, many = ({(r.stream, r.block_index): bytes(r.payload) for r in b.select("stream", "block_index", "payload").collect()} for b in (stages.with_coded(blocks.coalesce(1)), stages.encode(blocks)))
+    assert one == many and len(one) == blocks.count()
+
+
 def test_missing_blocks_are_found(spark):
     coded = stages.encode(stages.split_blocks(streams(spark, b"a" * 5000), 1024))
     expected = spark.createDataFrame([(0, 5), (1, 2), (2, 0)], "stream long, block_count long")
