@@ -72,6 +72,22 @@ def test_runs_across_blocks(spark):
     assert sorted(tuple(r) for r in runs.select("stream", "start", "length", "byte").collect()) == wanted
 
 
+def test_slot_predictions_stay_in_place(spark):
+    contents = [b"", None, b"12345678", b"123456789", b"abcdefgh" * 40 + b"x" * 300, os.urandom(1 << 18)]
+    found = stages.slot_predictions(stages.binary_stream(streams(spark, *contents), "stream", "content"), 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    wanted = set()
+    for i, data in enumerate(contents):
+        last = {}
+        for at in range(8, len(data or b"")):
+            slot = int.from_bytes(data[at - 8 : at], "big") * 0x9E3779B97F4A7C15 % (1 << 64) >> 44
+            wanted.add((i, at, slot, last.get(slot)))
+            last[slot] = at
+    rows = found.select("stream", "pos", "slot", "predicted").collect()
+    assert len(rows) == len(wanted) and set(map(tuple, rows)) == wanted
+
+
 def test_verify_never_raises(spark):
     good = bytes(archive.archives(streams(spark, b"some text " * 200), 1024).first().archive)
     bad = [good[:-1], b"", good + b"x", b"X" + good[1:], good[:60] + bytes([good[60] ^ 1]) + good[61:]]
