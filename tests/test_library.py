@@ -88,6 +88,15 @@ def test_slot_predictions_stay_in_place(spark):
     assert len(rows) == len(wanted) and set(map(tuple, rows)) == wanted
 
 
+def test_runs_are_found_without_python(spark):
+    data = b"ab" + b"\0" * ((1 << 25) + 9) + b"\xff" * 5 + b"a"
+    for size in (1 << 26, 1 << 24, 3 << 20):
+        runs = stages.run_islands(stages.split_blocks(streams(spark, data), size), size)
+        assert "InArrow" not in runs._jdf.queryExecution().executedPlan().toString()
+        wanted = [(0, 1, 97), (1, 1, 98), (2, (1 << 25) + 9, 0), ((1 << 25) + 11, 5, 255), ((1 << 25) + 16, 1, 97)]
+        assert sorted(tuple(r) for r in runs.select("start", "length", "byte").collect()) == wanted
+
+
 def test_verify_never_raises(spark):
     good = bytes(archive.archives(streams(spark, b"some text " * 200), 1024).first().archive)
     bad = [good[:-1], b"", good + b"x", b"X" + good[1:], good[:60] + bytes([good[60] ^ 1]) + good[61:]]
