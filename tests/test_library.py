@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom import cli, queries
 from blockloom.codec import FormatError, container
@@ -97,6 +98,12 @@ def test_runs_are_found_without_python(spark):
         assert sorted(tuple(r) for r in runs.select("start", "length", "byte").collect()) == wanted
 
 
+def test_large_blocks_get_tasks_of_few(spark):
+    blocks = stages.split_blocks(streams(spark, *(os.urandom(240) for _ in range(32))), 80)
+    by_task = [r["count"] for r in stages.compare_codecs(blocks).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 96 and max(by_task) < 24 and len(by_task) > 12
+
+
 def test_verify_never_raises(spark):
     good = bytes(archive.archives(streams(spark, b"some text " * 200), 1024).first().archive)
     bad = [good[:-1], b"", good + b"x", b"X" + good[1:], good[:60] + bytes([good[60] ^ 1]) + good[61:]]
